@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from termloom import drift_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**drift_queries.QUERIES}
+SQL: dict[str, str] = {**drift_queries.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
