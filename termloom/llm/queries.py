@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm.distinctiveness import distinctive_terms, query_words
+from termloom.llm.leakage import leaked, reparameterised, template_matches
 from termloom.llm.terms import TermStatistics
-from termloom.runtime import read_table
+from termloom.runtime import checkpointed, read_table
 
 
 def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,11 +44,25 @@ def p6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("score", F.round("score", 6))
 
 
+def _leak_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_matches(read_table(spark, sf_dir, "documents"), "doc_id", "text", read_table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked(_leak_matches(spark, sf_dir), "doc_id", "item_id")
+
+
+def p8_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reparameterised(checkpointed(_leak_matches(spark, sf_dir)), "doc_id", "item_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_terms": p2_terms,
     "p6_found": p6_found,
     "p6_scores": p6_scores,
+    "p8_found": p8_found,
+    "p8_reparameterised": p8_reparameterised,
 }
 
 _TERMS = """
