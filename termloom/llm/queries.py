@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from termloom.llm.distinctiveness import distinctive_terms, query_words
 from termloom.llm.leakage import leaked, reparameterised, template_matches
+from termloom.llm.packing import pack, token_counts
+from termloom.llm.reading_level import ReadingLevel
 from termloom.llm.terms import TermStatistics
 from termloom.runtime import checkpointed, read_table
 
@@ -56,13 +58,26 @@ def p8_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reparameterised(checkpointed(_leak_matches(spark, sf_dir)), "doc_id", "item_id")
 
 
+def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return pack(counts, "doc_id", "n_tokens", read_table(spark, sf_dir, "containers"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").where("lang = 'en'")
+    model = ReadingLevel.fit(docs, "doc_id", "text", read_table(spark, sf_dir, "labels"), "doc_id", "grade")
+    return model.predict(docs.where("n_cues >= 12"), "doc_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_terms": p2_terms,
     "p6_found": p6_found,
     "p6_scores": p6_scores,
+    "p7_packing": p7_packing,
     "p8_found": p8_found,
     "p8_reparameterised": p8_reparameterised,
+    "p9_found": p9_found,
 }
 
 _TERMS = """
