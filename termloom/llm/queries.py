@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from termloom.llm.distinctiveness import distinctive_terms, query_words
 from termloom.llm.leakage import leaked, reparameterised, template_matches
+from termloom.llm.linkage import LinkStore
 from termloom.llm.packing import pack, token_counts
 from termloom.llm.reading_level import ReadingLevel
 from termloom.llm.terms import TermStatistics
@@ -21,6 +22,17 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("record_id", F.col("ad_index")["content"].alias("content"))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read_table(spark, sf_dir, "api_documents").select("record_id", "batch_no", "ad_uri")
+    store = LinkStore(spark)
+    store.load_history(records.where("batch_no = 0"), "record_id", "ad_uri")
+    repeats = None
+    for n in sorted(r[0] for r in records.where("batch_no > 0").select("batch_no").distinct().collect()):
+        found = store.accept(records.where(F.col("batch_no") == n), "record_id", "ad_uri")
+        repeats = found if repeats is None else repeats.unionByName(found)
+    return repeats if repeats is not None else spark.createDataFrame([], "first_id long, record_id long")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TermStatistics(contents(spark, sf_dir), "content").verdicts().where("verdict is not null").select("term", "verdict")
 
@@ -70,6 +82,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_terms": p2_terms,
     "p6_found": p6_found,
