@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from termloom.llm.distinctiveness import distinctive_terms, query_words
 from termloom.llm.leakage import leaked, reparameterised, template_matches
 from termloom.llm.linkage import LinkStore
+from termloom.llm.lookalikes import canonical_texts, lookalike_pairs
 from termloom.llm.packing import pack, token_counts
 from termloom.llm.reading_level import ReadingLevel
 from termloom.llm.terms import TermStatistics
@@ -41,6 +42,23 @@ def p2_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TermStatistics(contents(spark, sf_dir), "content").verdicts()
 
 
+def _short_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    subjects = read_table(spark, sf_dir, "api_documents").select(
+        F.lit("api_documents").alias("tab"), F.col("record_id").alias("key"), F.col("ad_index")["subject"].alias("text")
+    )
+    asked = read_table(spark, sf_dir, "commands").where("cmd = 'search'")
+    return subjects.unionByName(asked.select(F.lit("commands").alias("tab"), F.col("cmd_id").alias("key"), F.col("ic_query").alias("text")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike_pairs(_short_texts(spark, sf_dir), "tab", "key", "text").distinct()
+
+
+def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _short_texts(spark, sf_dir).where("text is not null")
+    return rows.join(canonical_texts(rows), "text", "left").select("tab", "key", F.coalesce("canonical", "text").alias("canonical"))
+
+
 def weighted_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = read_table(spark, sf_dir, "commands").where("cmd = 'search' and ic_weight")
     return asked.select(F.explode(query_words(F.col("ic_query"))).alias("term")).distinct()
@@ -85,6 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_terms": p2_terms,
+    "p3_found": p3_found,
+    "p3_canonical": p3_canonical,
     "p6_found": p6_found,
     "p6_scores": p6_scores,
     "p7_packing": p7_packing,
