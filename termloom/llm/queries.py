@@ -11,6 +11,7 @@ from termloom.llm.distinctiveness import distinctive_terms, query_words
 from termloom.llm.leakage import leaked, reparameterised, template_matches
 from termloom.llm.linkage import LinkStore
 from termloom.llm.lookalikes import canonical_texts, lookalike_pairs
+from termloom.llm.main_content import PathRatios, pages_of
 from termloom.llm.packing import pack, token_counts
 from termloom.llm.reading_level import ReadingLevel
 from termloom.llm.terms import TermStatistics
@@ -59,6 +60,22 @@ def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(canonical_texts(rows), "text", "left").select("tab", "key", F.coalesce("canonical", "text").alias("canonical"))
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages_of(read_table(spark, sf_dir, "api_documents"), "record_id", "ad_uri", "ad_index['content']", "ad_index['subject']")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _pages(spark, sf_dir)
+    return PathRatios(pages).extract(pages, with_text=False).select("record_id", "line_no")
+
+
+def p4_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page with the lines of its main body only."""
+    pages = _pages(spark, sf_dir)
+    lines = PathRatios(pages).extract(pages).groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
+    return lines.select("record_id", F.array_join(F.transform("lines", lambda s: s["line"]), "\n").alias("content"))
+
+
 def weighted_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = read_table(spark, sf_dir, "commands").where("cmd = 'search' and ic_weight")
     return asked.select(F.explode(query_words(F.col("ic_query"))).alias("term")).distinct()
@@ -105,6 +122,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_terms": p2_terms,
     "p3_found": p3_found,
     "p3_canonical": p3_canonical,
+    "p4_found": p4_found,
+    "p4_pages": p4_pages,
     "p6_found": p6_found,
     "p6_scores": p6_scores,
     "p7_packing": p7_packing,
