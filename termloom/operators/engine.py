@@ -75,7 +75,7 @@ class Engine:
     def _records(self, records: DataFrame | list[dict]) -> DataFrame:
         if isinstance(records, DataFrame):
             return records
-        return self.spark.createDataFrame([(r["uri"], r.get("index"), r.get("description"), r.get("weight")) for r in records], RECORD)
+        return self.spark.createDataFrame([(r["uri"], r.get("index"), r.get("description"), None if r.get("weight") is None else float(r["weight"])) for r in records], RECORD)
 
     def _check_contexts(self, raw: DataFrame) -> None:
         used = raw.select(F.explode(F.map_keys("index")).alias("c")).distinct().where(~F.col("c").isin(list(self.schemas)) if self.schemas else F.lit(True))

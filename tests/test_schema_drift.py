@@ -35,7 +35,7 @@ def test_empty(files):
 
 
 def test_rescue_and_replay(spark):
-    df = spark.createDataFrame([(1, '{"a": 1, "b": "x", "new": {"k": [1]}}'), (2, '{"A2": 2, "a": "no"}'), (3, None), (4, '{"a": "12", "b": 5}')], "key int, js string")
+    df = spark.createDataFrame([(1, '{"a": 1, "b": "x", "new": {"k": [1]}}'), (2, '{"A2": 2, "a": "no"}'), (3, None), (4, '{"a": 12, "b": 5}')], "key int, js string")
     ingest = sd.RescueIngest({"a": "integer", "b": "text"}, {"A2": "a"})
     table = ingest.ingest(df, ["key"], sd.entries_of_json(F.col("js")))
     got = {r["key"]: (r["a"], r["b"], r["rescued"]) for r in table.collect()}
