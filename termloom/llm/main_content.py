@@ -209,7 +209,7 @@ class PathRatios:
         sites = {r[0] for r in stats.where(F.col("is_site") & (F.col("pages") >= SITE_SHARE * n)).select("word").collect()}
         self.known = frozenset(w for w in words if any(map(str.isalpha, w)) and not {x.lower() for x in _LETTERS.findall(w)} & sites)
         per_page = pages.mapInArrow(partial(_page_templates, known=self.known), "template string, page string")
-        counted = per_page.groupBy("template").agg(F.approx_count_distinct("page", 0.02).alias("pages"))
+        counted = per_page.select("template", F.xxhash64("page").alias("page")).distinct().groupBy("template").agg(F.count("*").alias("pages"))
         titles = pages.agg(F.approx_count_distinct(F.coalesce("title", "text"), 0.02)).first()[0]
         least = max(FRAME_LEAST, FRAME_SHARE * titles)
         frame = {r["template"]: r["pages"] for r in counted.where(F.col("pages") >= least).collect()}
