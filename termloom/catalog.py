@@ -42,9 +42,12 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.documents(raw_records(spark, sf_dir), F.col("record_id"))
 
 
-def compiler(spark: SparkSession, sf_dir: str, config: ProcessConfig = ProcessConfig()) -> Compiler:
+def compiler(spark: SparkSession, sf_dir: str, q: Q.Query, config: ProcessConfig = ProcessConfig()) -> Compiler:
+    """Over postings of the contexts that the query can touch: the default and the named ones."""
     own = schemas(spark, sf_dir)
-    return Compiler(analysis.postings(corpus(spark, sf_dir), own), own, config)
+    named = Q.mentioned_contexts(q)
+    used = {n: s for n, s in own.items() if n in named or (s.default and not isinstance(q, Q.InContexts))}
+    return Compiler(analysis.postings(corpus(spark, sf_dir), used), own, config)
 
 
 def first_deliveries(spark: SparkSession, sf_dir: str, nth: int = 1) -> DataFrame:
@@ -130,13 +133,13 @@ def _either(parts: list[str]) -> str:
 def _search(text: str | Q.Query, config: ProcessConfig = UNLIMITED) -> Run:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         q = parse(text) if isinstance(text, str) else text
-        return compiler(spark, sf_dir, config).scored(q).select("doc_id", F.round("score", 6).alias("score"))
+        return compiler(spark, sf_dir, q, config).scored(q).select("doc_id", F.round("score", 6).alias("score"))
 
     return run
 
 
 def _unscored(text: str) -> Run:
-    return lambda spark, sf_dir: compiler(spark, sf_dir, UNLIMITED).unscored(parse(text))
+    return lambda spark, sf_dir: compiler(spark, sf_dir, parse(text), UNLIMITED).unscored(parse(text))
 
 
 def _ids(parts: str) -> str:
@@ -175,7 +178,7 @@ _register("unscored_andnot", _unscored("harbour AND NOT kitchen"), _ids(f"select
 _register("boost", _search("harbour^2.5 OR kitchen"), _final(_either([f"select doc_id, 2.5::double * score as score from ({_h('harbour')})", _h("kitchen")])))
 _register("context_restrict", _search("subject,who:(har OR tu)"), _final(_either([_h("har", PREFIX, "('subject', 'who')"), _h("tu", PREFIX, "('subject', 'who')")])))
 _register("default_contexts", _search("t"), _final(_h("t")))
-_register("optimized_prefixes", lambda s, d: compiler(s, d, UNLIMITED).scored(Q.subsume_prefixes(Q.Binary(Q.Op(Q.AND), Q.Word("har"), Q.Word("harb")))).select("doc_id", F.round("score", 6).alias("score")), _final(_h("harb")))
+_register("optimized_prefixes", _search(Q.subsume_prefixes(Q.Binary(Q.Op(Q.AND), Q.Word("har"), Q.Word("harb")))), _final(_h("harb")))
 
 # ---------------------------------------------------------------- positional operators
 
@@ -312,7 +315,7 @@ from ({_h('harbour')}) s join api_documents on record_id = s.doc_id)"""
 
 def _page(offset: int, most: int) -> Run:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = compiler(spark, sf_dir, UNLIMITED).scored(parse("harbour"))
+        found = compiler(spark, sf_dir, parse("harbour"), UNLIMITED).scored(parse("harbour"))
         return ranking.page(ranking.with_documents(found, corpus(spark, sf_dir)), offset, most).select("doc_id", "uri", F.round("score", 6).alias("score"))
 
     return run
@@ -321,18 +324,18 @@ def _page(offset: int, most: int) -> Run:
 _register("page_topk", _page(0, 10), _RANKED + " select doc_id, uri, round(score, 6) as score from r order by r.score desc, uri, doc_id limit 10")
 _register("page_offset", _page(20, 15), _RANKED + " select doc_id, uri, round(score, 6) as score from r order by r.score desc, uri, doc_id limit 15 offset 20")
 _register("doc_weight_rank", _page(0, -1), _RANKED + " select doc_id, uri, round(score, 6) as score from r")
-_register("hit_count", lambda s, d: compiler(s, d, UNLIMITED).scored(parse("harbour")).agg(F.count("*").alias("n")), _RANKED + " select count(*) as n from r")
+_register("hit_count", lambda s, d: compiler(s, d, parse("harbour"), UNLIMITED).scored(parse("harbour")).agg(F.count("*").alias("n")), _RANKED + " select count(*) as n from r")
 
 
 def result_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.result_statistics(compiler(spark, sf_dir, UNLIMITED).raw(parse("har")))
+    return ranking.result_statistics(compiler(spark, sf_dir, parse("har"), UNLIMITED).raw(parse("har")))
 
 
 _register("result_statistics", result_statistics, f"with {_POSTINGS} select count(distinct doc_id) as doc_hits, count(distinct word) as word_hits, max(sim) as max_score from ({_hits(PREFIX, 'har')})")
 
 
 def select_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ranking.with_documents(compiler(spark, sf_dir, UNLIMITED).scored(parse("kitchen")), corpus(spark, sf_dir))
+    found = ranking.with_documents(compiler(spark, sf_dir, parse("kitchen"), UNLIMITED).scored(parse("kitchen")), corpus(spark, sf_dir))
     shown = ranking.projected(found, ["kind", "year", "Year"])
     return shown.select("doc_id", "weight", F.explode("description").alias("field", "value"))
 
@@ -345,7 +348,8 @@ select doc_id, 1.0::double as weight, d.key as field, d.value as value from f wh
 
 def _complete(q: str | Q.Query) -> Run:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        words = compiler(spark, sf_dir, UNLIMITED).completions(parse(q) if isinstance(q, str) else q)
+        tree = parse(q) if isinstance(q, str) else q
+        words = compiler(spark, sf_dir, tree, UNLIMITED).completions(tree)
         return ranking.top_words(words.withColumn("score", F.round("score", 6)), 20)
 
     return run
@@ -553,7 +557,6 @@ select 'd' || r as uri, min(level)::int as level, true as done from w group by r
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prefix search in the default contexts, ranked, first page."""
-    own = schemas(spark, sf_dir)
-    docs = corpus(spark, sf_dir)
-    found = Compiler(analysis.postings(docs, own), own).scored(parse("har"))
-    return ranking.projected(ranking.page(ranking.with_documents(found, docs), 0, 10)).select("doc_id", "uri", "score", "weight")
+    q = parse("har")
+    found = compiler(spark, sf_dir, q).scored(q)
+    return ranking.projected(ranking.page(ranking.with_documents(found, corpus(spark, sf_dir)), 0, 10)).select("doc_id", "uri", "score", "weight")

@@ -347,6 +347,20 @@ def terms(q: Query) -> list[str]:
     return []
 
 
+def mentioned_contexts(q: Query) -> set[str]:
+    """Contexts named anywhere in the query."""
+    match q:
+        case InContexts(contexts, inner):
+            return set(contexts) | mentioned_contexts(inner)
+        case Boost(_, inner):
+            return mentioned_contexts(inner)
+        case Binary(_, left, right):
+            return mentioned_contexts(left) | mentioned_contexts(right)
+        case Seq(_, args):
+            return set().union(*map(mentioned_contexts, args))
+    return set()
+
+
 def check_with(predicate: Callable[[str], bool], q: Query) -> bool:
     """Whether all query words satisfy the predicate."""
     return all(map(predicate, terms(q)))
