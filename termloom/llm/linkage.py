@@ -24,6 +24,7 @@ from termloom.runtime import checkpointed, shared_path
 
 #: Parameters that only track a visit.
 TRACKING = re.compile(r"(?:utm_\w*|fbclid|gclid|dclid|msclkid|yclid|mc_[ce]id|igshid|ref_src|sid|sessionid|phpsessid|jsessionid)", re.I)
+_INDEX = re.compile(r"(?:index|default)\.(?:x?html?|shtml|php\d?|aspx?|jsp)", re.I)
 _SCHEME = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*):(.*)", re.S)
 #: Blocks with more rows than this are probed by deletion neighbourhoods instead of by pairs.
 HOT_BLOCK = 200
@@ -43,9 +44,9 @@ def parse(uri: str | None) -> tuple | None:
     """(spelling, directory, tail, page, digits, key_a, key_b); None without a resource.
 
     The spelling is equal for URIs that differ only in what servers and browsers ignore: blanks around, protocol,
-    ``www.``, case of scheme and host, default ports, dot segments, repeated and final slashes, escapes, fragments,
-    order of parameters and tracking parameters. ``page`` is the last, hyphenated path segment (null if it has none);
-    its keys are those of the first and of the second half of its words, so one slip leaves one of them intact.
+    ``www.``, case of scheme and host, default ports, dot segments, repeated and final slashes, a directory's default
+    document, escapes, fragments, order of parameters and tracking parameters. ``page`` is the last hyphenated path
+    segment (null if there is none), ``tail`` its extension and all that follows; its keys are those of the first and of the second half of its words, so one slip leaves one of them intact.
     """
     uri = re.sub(r"[\t\r\n]", "", uri or "").strip().strip("​﻿⁠")
     if not uri:
@@ -66,22 +67,25 @@ def parse(uri: str | None) -> tuple | None:
             segments[-1:] = []
         elif s not in ("", "."):
             segments.append(s)
+    if segments and _INDEX.fullmatch(segments[-1]):
+        segments.pop()
     params = sorted(_escaped(p) for p in query.split("&") if p and not TRACKING.fullmatch(p.partition("=")[0]))
-    tail = "?" + "&".join(params) if params else ""
-    spelling = "//" + "/".join([host, *segments]) + tail
-    page = segments[-1] if segments else ""
-    name, dot, extension = page.rpartition(".")
+    query = "?" + "&".join(params) if params else ""
+    spelling = "//" + "/".join([host, *segments]) + query
+    at = next((i for i in reversed(range(len(segments))) if "-" in unquote(segments[i])), None)
+    if at is None:
+        return (spelling, None, None, None, None, None, None)
+    name, dot, extension = segments[at].rpartition(".")
     if not dot or not re.fullmatch(r"[A-Za-z0-9]{1,5}", extension) or extension.isdigit():
-        name, dot, extension = page, "", ""
+        name, dot, extension = segments[at], "", ""
     name = unquote(name)
-    if "-" not in name:
-        return (spelling, None, None, None, None, None, None)
     words = name.split("-")
     half = (len(words) + 1) // 2
-    directory = "/".join([host, *segments[:-1]])
+    directory = "/".join([host, *segments[:at]])
+    tail = "/".join([dot + extension, *segments[at + 1 :]]) + query
     digits = "-".join(re.findall(r"\d+", name))
     a, b = "-".join(words[:half]), "-".join(words[half:])
-    return (spelling, directory, dot + extension + tail, name, digits, _key("a", host, len(words), a), _key("b", host, len(words), b))
+    return (spelling, directory, tail, name, digits, _key("a", host, len(words), a), _key("b", host, len(words), b))
 
 
 def one_slip(a: str, b: str) -> bool:

@@ -17,6 +17,10 @@ def test_spellings():
     assert parse("ID:7 ")[0] == parse("id:7")[0] != parse("id:8")[0]
     different = ["https://a.example/v?page=1", "https://a.example/v?page=2", "https://a.example/v", "https://b.example/v", "https://a.example/V"]
     assert len({parse(u)[0] for u in different}) == len(different)
+    assert parse("https://a.example/x/a-b/index.html")[0] == parse("https://a.example/x/a-b/")[0]
+    below, slip = parse("https://a.example/x/one-two/page/2"), parse("https://a.example/x/one-tow/page/2")
+    assert (below[1], below[2], below[3]) == ("a.example/x", "/page/2", "one-two") and one_slip(below[3], slip[3]) and below[2] == slip[2]
+    assert parse("https://a.example/x/one-two/page/3")[2] != below[2]
     assert parse(None) is None and parse("  ") is None
 
 
