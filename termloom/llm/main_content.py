@@ -176,7 +176,7 @@ def content_lines(lines: list[str], title: str | None, known: frozenset, frame:
     """Numbers of the main body's lines. ``heads``: frame lines that open a list of teasers, with its reach."""
     walked = list(_walk(lines, title, known, frame))
     kept: list[int] = []
-    for at, (i, (zone, head, distance, kind), line) in enumerate(walked):
+    for at, (i, (zone, head, distance, kind), _) in enumerate(walked):
         if zone == "heading":
             kept.append(i)
         elif zone == "before" or kind == "star":
@@ -185,15 +185,29 @@ def content_lines(lines: list[str], title: str | None, known: frozenset, frame:
             kept.append(i)
         elif head in heads and distance <= heads[head]:
             continue
-        elif kind == "sentence" or not head:
+        elif not head or _after_notice(walked, at):
             kept.append(i)
-        else:  # after a notice only a sub-heading, which has text of its own after it
-            after = next((w for w in walked[at + 1 :]), None)
-            if after and after[1][0] == "body" and after[1][3] in ("text", "sentence", "quote", "item") and not (after[1][1] in heads and after[1][1] != head):
-                kept.append(i)
     return kept
 
 
+def _after_notice(walked: list, at: int) -> bool:
+    """Whether a short line or a sentence that follows a notice is of the body. The run of such lines ends with text of
+    the body or with another frame line; a run with starred lines, or with short ones that lead to no text, is a list
+    of teasers. Before text, sentences and the last short line, its sub-heading, belong to the body."""
+    head = walked[at][1][1]
+    first = at
+    while walked[first][1][2] > 1 and first and walked[first - 1][1][1] == head and walked[first - 1][1][2] < walked[first][1][2]:
+        first -= 1
+    last = at
+    while last + 1 < len(walked) and walked[last + 1][1][1] == head and (walked[last + 1][1][2] > walked[last][1][2] or walked[last + 1][1][2] == REACH):
+        last += 1
+    kinds = [w[1][3] for w in walked[first : last + 1]]
+    ends_in_text = kinds[-1] in ("text", "quote", "item")
+    if "star" in kinds or ("short" in kinds and not ends_in_text):
+        return False
+    return walked[at][1][3] == "sentence" or (ends_in_text and at == last - 1)
+
+
 class PathRatios:
     """Frame templates and teaser heads learned from a table of pages (record_id, uri, text, title).
 
