@@ -5,6 +5,7 @@ Postings: context, word, word_lc, key_int, key_ts, lat, lon, doc_id, positions (
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -48,9 +49,12 @@ def tokens(docs: DataFrame, schemas: dict[str, ContextSchema]) -> DataFrame:
     return found.select("context", "doc_id", (F.col("pos") + 1).alias("pos"), by_context(lambda s: normalise(F.col("raw"), list(s.normalizers))).alias("word"))
 
 
-def postings(docs: DataFrame, schemas: dict[str, ContextSchema]) -> DataFrame:
+def postings(docs: DataFrame, schemas: dict[str, ContextSchema], boring: Callable[[Column], Column] | list[str] | None = None) -> DataFrame:
     """Inverted documents. The group key ends with doc_id, so a hot word never gathers in one task."""
-    rows = tokens(docs, schemas).groupBy("context", "word", "doc_id").agg(F.array_sort(F.collect_set("pos")).alias("positions"))
+    numbered = tokens(docs, schemas)
+    if boring:
+        numbered = without_words(numbered, boring)
+    rows = numbered.groupBy("context", "word", "doc_id").agg(F.array_sort(F.collect_set("pos")).alias("positions"))
     keeps = [n for n, s in schemas.items() if s.kind.positions]
     typed = {}
     for column, kind in TYPED.items():
@@ -74,6 +78,12 @@ def _plain(word: Column, schema: ContextSchema) -> Column:
     return F.coalesce(zero_fill_value(word), word) if "ZeroFill" in schema.normalizers else word
 
 
+def without_words(numbered: DataFrame, boring: Callable[[Column], Column] | list[str]) -> DataFrame:
+    """``tokens`` without boring words, by list or predicate; the numbers of the others stay."""
+    drop = F.lower("word").isin(boring) if isinstance(boring, list) else boring(F.col("word"))
+    return numbered.where(~drop)
+
+
 def vocabulary(posts: DataFrame) -> DataFrame:
     """context, word, word_lc, df."""
     return posts.groupBy("context", "word", "word_lc").agg(F.count("*").alias("df"))
