@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from termloom.runtime import checkpointed
+
 TYPES = ("integer", "decimal", "text", "boolean", "list", "object")
 #: Bins of a field's value profile; a profile never holds more entries than this.
 BINS = 256
@@ -94,7 +96,8 @@ def changes(profiles: DataFrame, sizes: DataFrame | None = None, min_share: floa
     own = belongs.join(numbered, ["feed", "file_no"]).drop("n_rows", "n_held")
     later = own.select("feed", "seq", "field", F.col("type").alias("new_type"), F.col("profile").alias("new_profile"), F.lit(True).alias("later"))
     earlier = own.select("feed", (F.col("seq") + 1).alias("seq"), "field", F.col("type").alias("old_type"), F.col("profile").alias("old_profile"), F.lit(True).alias("earlier"))
-    both = earlier.join(later, ["feed", "seq", "field"], "full_outer").join(numbered.where("seq > 1"), ["feed", "seq"])
+    # One small row per file and field; written once, since every kind of change reads it.
+    both = checkpointed(earlier.join(later, ["feed", "seq", "field"], "full_outer").join(numbered.where("seq > 1"), ["feed", "seq"]))
     gone = both.where("later is null")
     new = both.where("earlier is null")
     pairs = gone.select("feed", "file_no", F.col("field").alias("field_name"), F.col("old_type").alias("type"), "old_profile").join(
@@ -103,7 +106,7 @@ def changes(profiles: DataFrame, sizes: DataFrame | None = None, min_share: floa
     scored = pairs.withColumn("sim", _similarity(F.col("old_profile"), F.col("new_profile"))).where(F.col("sim") >= min_similarity).drop("old_profile", "new_profile")
     by_old = Window.partitionBy("feed", "file_no", "field_name").orderBy(F.desc("sim"), "new_name")
     by_new = Window.partitionBy("feed", "file_no", "new_name").orderBy(F.desc("sim"), "field_name")
-    renamed = scored.withColumn("a", F.row_number().over(by_old)).withColumn("b", F.row_number().over(by_new)).where("a = 1 and b = 1").select("feed", "file_no", "field_name", "new_name")
+    renamed = checkpointed(scored.withColumn("a", F.row_number().over(by_old)).withColumn("b", F.row_number().over(by_new)).where("a = 1 and b = 1").select("feed", "file_no", "field_name", "new_name"))
     removed = gone.select("feed", "file_no", F.col("field").alias("field_name")).join(renamed, ["feed", "file_no", "field_name"], "left_anti")
     added = new.select("feed", "file_no", F.col("field").alias("new_name")).join(renamed, ["feed", "file_no", "new_name"], "left_anti")
     retyped = both.where("later and earlier and old_type <> new_type").select("feed", "file_no", F.col("field").alias("field_name"))
