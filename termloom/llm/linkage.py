@@ -225,7 +225,7 @@ class LinkStore:
         are probed by what is left of the other half after one deletion, so no group is paired with itself."""
         fields = ["first_id", "spelling", "directory", "tail", "page", "digits"]
         with_keys = lambda d: d.where("page is not null").select(*fields, F.explode(F.array("key_a", "key_b")).alias("key"))
-        fresh = checkpointed(with_keys(new))
+        fresh = with_keys(new)
         touched = fresh.select("key").distinct()
         past = checkpointed(with_keys(history).join(touched, "key", "left_semi").select(*fields, "key"))
         everything = past.unionByName(fresh)
@@ -267,7 +267,7 @@ class LinkStore:
         up = lambda d, c: d.join(reps.select(F.col("first_id").alias(c), F.col("rep").alias(f"{c}_rep")), c, "left").withColumn(c, F.coalesce(f"{c}_rep", c)).drop(f"{c}_rep")
         graph = up(up(links, "a"), "b").where("a <> b")
         graph = checkpointed(graph.select("a", "b").unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-        label = checkpointed(graph.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")))
+        label = graph.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label"))
         while True:
             from_neighbours = graph.join(label.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
             halved = label.join(label.select(F.col("a").alias("label"), F.col("label").alias("up")), "label", "left")
