@@ -21,7 +21,7 @@ from termloom.operators.engine import Engine
 from termloom.plans import query as Q
 from termloom.plans.compiler import Compiler, ProcessConfig
 from termloom.plans.parser import ParseError, parse
-from termloom.runtime import read_table, shared_path
+from termloom.runtime import read_table, shared_path, spread
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {**drift_queries.QUERIES}
@@ -39,7 +39,7 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.documents(raw_records(spark, sf_dir), F.col("record_id"))
+    return analysis.documents(spread(raw_records(spark, sf_dir)), F.col("record_id"))
 
 
 def compiler(spark: SparkSession, sf_dir: str, q: Q.Query, config: ProcessConfig = ProcessConfig()) -> Compiler:

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.operators import schema_drift as sd
-from termloom.runtime import checkpointed, read_table
+from termloom.runtime import checkpointed, read_table, spread
 
 
 def _sources(spark: SparkSession, sf_dir: str):
     """(tab, table, file number, key, entries) of the two tables."""
     return (
-        ("api_documents", read_table(spark, sf_dir, "api_documents"), "batch_no", "record_id", sd.entries_of_fragments(F.col("ad_descr"))),
-        ("doc_descs", read_table(spark, sf_dir, "doc_descs"), "file_no", "desc_id", sd.entries_of_json(F.col("un_desc"))),
+        ("api_documents", spread(read_table(spark, sf_dir, "api_documents").select("record_id", "feed", "batch_no", "ad_descr")), "batch_no", "record_id", sd.entries_of_fragments(F.col("ad_descr"))),
+        ("doc_descs", spread(read_table(spark, sf_dir, "doc_descs").select("desc_id", "feed", "file_no", "un_desc")), "file_no", "desc_id", sd.entries_of_json(F.col("un_desc"))),
     )
 
 

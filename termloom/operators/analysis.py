@@ -35,6 +35,8 @@ def documents(raw: DataFrame, doc_id: Column | None = None) -> DataFrame:
 
 def _words(text: Column, schema: ContextSchema) -> Column:
     """Valid words of one context's text, before normalisation."""
+    if schema.type in ("text", "text-small"):
+        return scan(text, schema.pattern)  # valid as they are not empty
     return F.filter(scan(text, schema.pattern), lambda w: F.coalesce(schema.kind.valid(w), F.lit(False)))
 
 
@@ -54,7 +56,7 @@ def postings(docs: DataFrame, schemas: dict[str, ContextSchema], boring: Callabl
     numbered = tokens(docs, schemas)
     if boring:
         numbered = without_words(numbered, boring)
-    rows = numbered.groupBy("context", "word", "doc_id").agg(F.array_sort(F.collect_set("pos")).alias("positions"))
+    rows = numbered.groupBy("context", "word", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
     keeps = [n for n, s in schemas.items() if s.kind.positions]
     typed = {}
     for column, kind in TYPED.items():

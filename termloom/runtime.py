@@ -36,6 +36,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table read in less than a quarter as many partitions as there are cores (one small file) dealt over all cores;
+    any other as it is, since its partitions keep the cores busy without an exchange."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 4 * df._jdf.rdd().getNumPartitions() <= cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir where the cluster names one, else a local one for tests."""
     sc = spark.sparkContext
