@@ -15,13 +15,19 @@ from termloom.llm.main_content import PathRatios, pages_of
 from termloom.llm.packing import pack, token_counts
 from termloom.llm.reading_level import ReadingLevel
 from termloom.llm.terms import TermStatistics
-from termloom.runtime import checkpointed, read_table
+from termloom.runtime import checkpointed, spread
+from termloom.runtime import read_table as stored_table
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    table = stored_table(spark, sf_dir, name)
+    return spread(table) if name == "documents" else table
 
 
 def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """record_id and content of the records that have a content entry."""
     docs = read_table(spark, sf_dir, "api_documents").where(F.map_contains_key("ad_index", F.lit("content")))
-    return docs.select("record_id", F.col("ad_index")["content"].alias("content"))
+    return spread(docs.select("record_id", F.col("ad_index")["content"].alias("content")))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +67,7 @@ def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages_of(read_table(spark, sf_dir, "api_documents"), "record_id", "ad_uri", "ad_index['content']", "ad_index['subject']")
+    return spread(pages_of(read_table(spark, sf_dir, "api_documents"), "record_id", "ad_uri", "ad_index['content']", "ad_index['subject']"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
