@@ -59,7 +59,8 @@ class GenerationStore:
         number = (current[-1] if current else 0) + 1
         base = f"{self.path}/gen={number}"
         docs.write.mode("overwrite").option("compression", self.codec).parquet(f"{base}/docs")
-        ordered = postings.repartition("context", "word_lc").sortWithinPartitions("context", "word_lc", "word")
+        # Ranges end with the document, so a hot word spreads over several; files cover few words and are skipped whole.
+        ordered = postings.repartitionByRange("context", "word_lc", "doc_id").sortWithinPartitions("context", "word_lc", "word", "doc_id")
         ordered.write.mode("overwrite").option("compression", self.codec).partitionBy("context").parquet(f"{base}/postings")
         self._text(f"{base}/contexts.json", json.dumps({n: s.to_json() for n, s in schemas.items()}))
         self._text(f"{base}/_COMMITTED", "")
