@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from termloom.runtime import checkpointed
 
 TYPES = ("integer", "decimal", "text", "boolean", "list", "object")
-#: Bins of a field's value profile; a profile never holds more entries than this.
-BINS = 256
+#: Bins of a field's value profile for words, and as many for shapes; a profile never holds more entries than both.
+BINS = 1 << 16
+#: Fields whose pooled profiles have at least so many pairs of words, fewer than EQUAL of them equal, are told by shape.
+PAIRS, EQUAL = 500, 10
 
 
 def entries_of_json(json: Column) -> Column:
@@ -41,15 +43,23 @@ def value_type(value: Column) -> Column:
     )
 
 
-def value_bin(value: Column, kind: Column) -> Column:
-    """A bounded fingerprint of the kind of a value: magnitude of numbers, else a hash of the text, of a list's first
-    element or of the object, with every digit masked."""
+def value_bins(value: Column, kind: Column) -> Column:
+    """Bounded fingerprints of the kind of a value: magnitude of numbers, else the words of the text, of all of a
+    list's elements or of an object's values with their keys, every digit masked, below BINS; and, from BINS on, one
+    for its character classes."""
     number = F.try_variant_get(value, "$", "double")
-    magnitude = (F.signum(number) * F.round(2 * F.log2(1 + F.abs(number)))).cast("int")
-    shown = F.when(kind == "list", F.coalesce(F.to_json(F.try_variant_get(value, "$[0]", "variant")), F.lit("")))
-    shown = shown.when(kind == "object", F.to_json(value)).otherwise(F.try_variant_get(value, "$", "string"))
-    hashed = F.pmod(F.xxhash64(F.regexp_replace(shown, "[0-9]", "9")), F.lit(BINS)).cast("int")
-    return F.when(kind.isin("integer", "decimal"), F.pmod(magnitude, F.lit(BINS))).otherwise(hashed)
+    magnitude = F.pmod((F.signum(number) * F.round(2 * F.log2(1 + F.abs(number)))).cast("int"), F.lit(BINS))
+    masked = lambda text: F.regexp_replace(F.lower(text), "[0-9]", "9")
+    words = lambda text: F.regexp_extract_all(masked(text), F.lit(r"9+(?:\.9+)*|[\p{L}\p{M}\p{N}]+"), F.lit(0))
+    shown = F.when(kind.isin("list", "object"), F.to_json(value)).otherwise(F.try_variant_get(value, "$", "string"))
+    members = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+    keyed = F.flatten(F.transform(members, lambda m: F.transform(words(F.to_json(m["value"])), lambda w: F.concat(m["key"], F.lit("="), w))))
+    found = F.when(kind == "object", keyed).otherwise(words(shown))
+    found = F.when(F.size(found) > 0, found).otherwise(F.array(masked(shown)))
+    hashed = lambda text: F.pmod(F.xxhash64(text), F.lit(BINS)).cast("int")
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(shown, r"\p{Lu}+", "A"), r"[\p{L}\p{M}&&[^A]]+", "a"), "[0-9]", "9")
+    below = F.when(kind.isin("integer", "decimal"), F.array(magnitude)).otherwise(F.transform(found, hashed))
+    return F.when(kind.isNull(), F.array(F.lit(BINS))).otherwise(F.concat(below, F.array(hashed(shape) + BINS)))
 
 
 def file_profiles(df: DataFrame, feed: str, file_no: str, entries: Column) -> DataFrame:
@@ -63,11 +73,13 @@ def file_profiles(df: DataFrame, feed: str, file_no: str, entries: Column) -> Da
     # A marker entry per row carries the row count through the same aggregation.
     exploded = rows.select("feed", "file_no", F.explode_outer("entries").alias("field", "value"))
     kinds = exploded.where("field is not null").select("feed", "file_no", "field", value_type(F.col("value")).alias("kind"), "value")
-    binned = kinds.withColumn("bin", value_bin(F.col("value"), F.col("kind"))).groupBy("feed", "file_no", "field", "kind", "bin").agg(F.count("*").alias("n"))
+    bins = kinds.select("feed", "file_no", "field", "kind", F.explode(value_bins(F.col("value"), F.col("kind"))).alias("bin"))
+    binned = bins.groupBy("feed", "file_no", "field", "kind", "bin").agg(F.count("*").alias("n"))
     order = F.array_position(F.array(*map(F.lit, TYPES)), F.col("kind"))
+    # Every value has one shape, so the shapes count the values.
     per_kind = (
         binned.groupBy("feed", "file_no", "field", "kind")
-        .agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("bin", F.col("n").cast("double")))).alias("profile"))
+        .agg(F.sum(F.when(F.col("bin") >= BINS, F.col("n")).otherwise(0)).alias("n"), F.map_from_entries(F.collect_list(F.struct("bin", F.col("n").cast("double")))).alias("profile"))
     )
     best = F.max_by(F.struct("kind", "profile"), F.when(F.col("kind").isNotNull(), F.struct("n", -order)))
     fields = per_kind.groupBy("feed", "file_no", "field").agg(F.sum("n").alias("n_held"), best.alias("best"))
@@ -76,11 +88,30 @@ def file_profiles(df: DataFrame, feed: str, file_no: str, entries: Column) -> Da
     return joined.select(fields["feed"], fields["file_no"], "field", "n_rows", "n_held", F.col("best.kind").alias("type"), F.col("best.profile").alias("profile"))
 
 
-def _similarity(a: Column, b: Column) -> Column:
-    """Cosine of two profiles."""
+def _similarity(a: Column, b: Column, kind: Column) -> Column:
+    """Likeness of two profiles: of numbers the cosine of their magnitudes; else Morisita's overlap of their words, the
+    chance that a word of each is the same over that of two words of one, so neither the number of rows nor that of
+    different words counts. Where words hardly repeat they tell nothing, and the shapes are compared."""
+    total = lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda s, x: s + x)
+    equal = lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda s, x: s + x * (x - 1))
     norm = lambda m: F.sqrt(F.aggregate(F.map_values(m), F.lit(0.0), lambda s, x: s + x * x))
-    dot = F.aggregate(F.map_keys(a), F.lit(0.0), lambda s, k: s + a[k] * F.coalesce(b[k], F.lit(0.0)))
-    return dot / (norm(a) * norm(b))
+    dot = lambda x, y: F.aggregate(F.map_keys(x), F.lit(0.0), lambda s, k: s + x[k] * F.coalesce(y[k], F.lit(0.0)))
+    cosine = lambda x, y: F.try_divide(dot(x, y), norm(x) * norm(y))
+    pairs = lambda m: total(m) * (total(m) - 1)
+    # Two different words share a bin once in BINS pairs.
+    repeated = lambda m: F.coalesce(F.try_divide(equal(m), pairs(m)), F.lit(0.0))
+    chance = 1.0 / BINS
+
+    def overlap(x: Column, y: Column) -> Column:
+        own = (repeated(x) + repeated(y)) / 2 - chance
+        return F.when(own > 0, (F.try_divide(dot(x, y), total(x) * total(y)) - chance) / own).otherwise(cosine(x, y))
+
+    words = lambda m: F.map_filter(m, lambda k, _: k < BINS)
+    shapes = lambda m: F.map_filter(m, lambda k, _: k >= BINS)
+    wa, wb = words(a), words(b)
+    n = (pairs(wa) + pairs(wb)) / 2
+    distinct = (n >= PAIRS) & ((equal(wa) + equal(wb)) / 2 < F.greatest(F.lit(float(EQUAL)), n * (4 * chance)))
+    return F.when(kind.isin("integer", "decimal"), cosine(wa, wb)).when(distinct, overlap(shapes(a), shapes(b))).otherwise(overlap(wa, wb))
 
 
 def changes(profiles: DataFrame, sizes: DataFrame | None = None, min_share: float = 0.1, min_similarity: float = 0.5) -> DataFrame:
@@ -88,7 +119,7 @@ def changes(profiles: DataFrame, sizes: DataFrame | None = None, min_share: floa
 
     A field belongs to a file if at least ``min_share`` of its rows hold it. A field that is gone and one that is new
     in the same file are one renamed field if their types are equal and each is the other's most similar partner, with
-    a cosine of their value profiles of at least ``min_similarity``; otherwise they are ``removed`` and ``added``.
+    a likeness of their value profiles of at least ``min_similarity``; otherwise they are ``removed`` and ``added``.
     A file none of whose rows has entries is skipped, as are feeds with one file.
     """
     belongs = profiles.where(F.col("n_held") >= F.col("n_rows") * F.lit(min_share))
@@ -103,7 +134,7 @@ def changes(profiles: DataFrame, sizes: DataFrame | None = None, min_share: floa
     pairs = gone.select("feed", "file_no", F.col("field").alias("field_name"), F.col("old_type").alias("type"), "old_profile").join(
         new.select("feed", "file_no", F.col("field").alias("new_name"), F.col("new_type").alias("type"), "new_profile"), ["feed", "file_no", "type"]
     )
-    scored = pairs.withColumn("sim", _similarity(F.col("old_profile"), F.col("new_profile"))).where(F.col("sim") >= min_similarity).drop("old_profile", "new_profile")
+    scored = pairs.withColumn("sim", _similarity(F.col("old_profile"), F.col("new_profile"), F.col("type"))).where(F.col("sim") >= min_similarity).drop("old_profile", "new_profile")
     by_old = Window.partitionBy("feed", "file_no", "field_name").orderBy(F.desc("sim"), "new_name")
     by_new = Window.partitionBy("feed", "file_no", "new_name").orderBy(F.desc("sim"), "field_name")
     renamed = checkpointed(scored.withColumn("a", F.row_number().over(by_old)).withColumn("b", F.row_number().over(by_new)).where("a = 1 and b = 1").select("feed", "file_no", "field_name", "new_name"))

@@ -23,6 +23,31 @@ def test_changes(files):
     assert got == {("f", 2, "renamed", "size", "bytes"), ("f", 2, "removed", "old", ""), ("f", 2, "added", "add", ""), ("f", 2, "retyped", "legs", "")}
 
 
+def _renames(spark, n, old, new):
+    rows = [("f", file, i, json.dumps({f"{k}{file}": v(i) for k, v in values.items()})) for file, values in enumerate((old, new)) for i in range(n)]
+    df = spark.createDataFrame(rows, "feed string, file_no int, key int, js string")
+    changed = sd.changes(sd.file_profiles(df, "feed", "file_no", sd.entries_of_json(F.col("js"))))
+    return {(r["field_name"][:-1], r["new_name"][:-1]) for r in changed.where("change = 'renamed'").collect()}
+
+
+@pytest.mark.parametrize("n", [55, 4000])
+def test_renames_do_not_depend_on_the_number_of_rows(spark, n):
+    import random
+
+    rng = random.Random(n)
+    pool = lambda c: [c + a + b for a in "aeiou" for b in "klmnp"]
+    some = lambda words: (lambda _: ", ".join(rng.sample(words, 3)))
+    fresh = lambda form: (lambda _: "".join(rng.choice({"a": "bcdfghjklmnp", "A": "BCDFGHJKLMNP"}.get(c, c)) for c in form))
+    tags, moods = some(pool("t")), some(pool("m"))
+    assert _renames(spark, n, {"tags": tags}, {"label": tags}) == {("tags", "label")}
+    assert _renames(spark, n, {"tags": lambda i: tags(i).split(", ")}, {"label": lambda i: tags(i).split(", ")}) == {("tags", "label")}
+    assert _renames(spark, n, {"tags": tags}, {"mood": moods}) == set()
+    assert _renames(spark, n, {"tags": lambda i: {"text": tags(i)}}, {"mood": lambda i: {"text": moods(i)}}) == set()
+    # Words that never repeat are told by their character classes.
+    assert _renames(spark, n, {"id": fresh("aaaaaaaa/Aaaaaaaa")}, {"key": fresh("aaaaaaaa/Aaaaaaaa")}) == {("id", "key")}
+    assert _renames(spark, n, {"id": fresh("aaaaaaaa/Aaaaaaaa")}, {"key": fresh("aaaaaaaaaa aaaaaaaaaa")}) == set()
+
+
 def test_types(spark):
     values = {"1": "integer", "1.0": "decimal", "1e3": "decimal", '"1"': "text", "true": "boolean", "[1]": "list", "{}": "object", "null": None}
     rows = spark.createDataFrame([(k,) for k in values], "j string").select("j", sd.value_type(F.parse_json("j")).alias("t")).collect()
