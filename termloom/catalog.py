@@ -542,12 +542,16 @@ _register("page_documents", page_documents, r"""with t as (select record_id, tri
 select 'http://pages.example/d/' || record_id || '.html' as uri, text from t where text <> ''""")
 
 
-def crawl_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _record_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = read_table(spark, sf_dir, "api_documents").select(F.col("record_id").alias("r"))
     links = ids.select(F.concat(F.lit("d"), F.col("r").cast("string")).alias("url"), F.explode(F.array(F.col("r") * 3, F.col("r") * 3 + 1, F.floor(F.col("r") / 2))).alias("t"))
-    links = links.select("url", F.concat(F.lit("d"), F.col("t").cast("string")).alias("link"))
+    return links.select("url", F.concat(F.lit("d"), F.col("t").cast("string")).alias("link"))
+
+
+def crawl_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first six levels only, as its SQL says; ``crawl_all`` has no bound."""
     seeds = spark.createDataFrame([("d1",)], "uri string")
-    return crawl.crawl(seeds, links, crawl.CrawlConfig(max_level=6)).select("uri", "level", "done")
+    return crawl.crawl(seeds, _record_links(spark, sf_dir), crawl.CrawlConfig(max_level=6)).select("uri", "level", "done")
 
 
 _register("crawl_levels", crawl_levels, """with recursive e as (select record_id as r, unnest([record_id * 3, record_id * 3 + 1, record_id // 2]) as t from api_documents),
@@ -555,6 +559,16 @@ w as (select 1::bigint as r, 0 as level union select e.t, w.level + 1 from w joi
 select 'd' || r as uri, min(level)::int as level, true as done from w group by r""")
 
 
+def crawl_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything reached from every hundredth record, without a bound on levels. No SQL: its recursion would go through
+    every path; the tests have a brute-force crawl."""
+    seeds = read_table(spark, sf_dir, "api_documents").where("record_id % 100 = 1").select(F.concat(F.lit("d"), F.col("record_id").cast("string")).alias("uri"))
+    return crawl.crawl(seeds, _record_links(spark, sf_dir)).select("uri", "level", "done")
+
+
+_register("crawl_all", crawl_all)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prefix search in the default contexts, ranked, first page."""
     q = parse("har")

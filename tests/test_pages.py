@@ -46,3 +46,17 @@ def test_crawl(spark):
     first = C.crawl(seeds, links, C.CrawlConfig(max_docs=2))
     again = C.crawl(seeds, links, C.CrawlConfig(deny="deny", per_round=1), state=first)
     assert {r["uri"]: r["done"] for r in again.collect()} == {u: True for u in "abcde"}
+
+
+def test_crawl_of_all_levels(spark, tmp_path):
+    from termloom import catalog
+
+    ids = range(1, 2001)
+    spark.createDataFrame([(r,) for r in ids], "record_id bigint").write.parquet(f"{tmp_path}/api_documents.parquet")
+    levels, frontier = {}, {r for r in ids if r % 100 == 1}
+    while frontier:
+        levels |= dict.fromkeys(frontier, max(levels.values(), default=-1) + 1)
+        frontier = {t for r in frontier if r in ids for t in (r * 3, r * 3 + 1, r // 2)} - levels.keys()
+    got = {r["uri"]: (r["level"], r["done"]) for r in catalog.QUERIES["crawl_all"](spark, str(tmp_path)).collect()}
+    assert got == {f"d{r}": (n, True) for r, n in levels.items()}
+    assert max(levels.values()) > 6 and len(levels) > len(ids)
