@@ -31,14 +31,16 @@ def _id(token: str) -> int:
 
 
 class Templates:
-    """Which words are slots, learned from the items: numbers by form, units as what follows a number, names as what
-    is capitalised inside a sentence. The type depends on the word alone, so a passage looks the same everywhere."""
+    """Which words are slots, learned from all items: numbers by form, units as what follows a number there, names as
+    what is capitalised inside a sentence there. Words that no item has are names, in any case. Within a window, what
+    follows a number is a unit, whatever the word; the first word of a window is typed alone, so a passage looks the
+    same everywhere."""
 
     def __init__(self, texts: list[str | None]) -> None:
         self.names: set[str] = set()
         self.units: set[str] = set()
         self.words: set[str] = set()
-        lower: set[str] = set()
+        self.lower: set[str] = set()
         for text in filter(None, texts):
             for sentence in re.split(r"(?<=[.?!])\s+", text):
                 found = tokens(sentence)
@@ -46,95 +48,154 @@ class Templates:
                     s = skeleton(w)
                     self.words.add(s)
                     if w.islower():
-                        lower.add(s)
+                        self.lower.add(s)
                     if i and w.istitle():
                         self.names.add(s)
                     if i and skeleton(found[i - 1]).isdigit() and w.islower():
                         self.units.add(s)
-        self.names -= lower
+        self.names -= self.lower
         self.cache: dict[str, tuple[int, str | None]] = {}
 
+    @classmethod
+    def fitted(cls, texts: DataFrame) -> Templates:
+        """From all texts of a DataFrame (text), block by block in the tasks; the driver gets their distinct words."""
+        found = texts.mapInArrow(_vocabulary, "word string, kind string").distinct().collect()
+        made = cls([])
+        for word, kind in found:
+            getattr(made, kind).add(word)
+        made.names -= made.lower
+        return made
+
     def token(self, word: str) -> tuple[int, str | None]:
         """Template id of a word and, for a slot, what stands in it."""
         hit = self.cache.get(word)
         if hit is None:
             s = skeleton(word)
             kind = NUMBER if s.isdigit() else NAME if s in self.names else UNIT if s in self.units else None
-            if kind is None and s not in self.words and word.istitle():
+            if kind is None and s not in self.words:
                 kind = NAME
             hit = (_id(kind or s), s if kind else None)
             if len(self.cache) < 500_000:
                 self.cache[word] = hit
         return hit
 
+    def typed(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """Of each word: the id it has alone, and the one it has behind the word before it."""
+        alone = [self.token(w)[0] for w in words]
+        behind = list(alone)
+        for k in range(1, len(words)):
+            if behind[k - 1] == _NUMBER and behind[k] != _NUMBER:
+                behind[k] = _UNIT
+        return alone, behind
+
     def __getstate__(self):
-        return {"names": self.names, "units": self.units, "words": self.words, "cache": {}}
+        return {"names": self.names, "units": self.units, "words": self.words, "lower": set(), "cache": {}}
+
 
+_NUMBER, _NAME, _UNIT = _id(NUMBER), _id(NAME), _id(UNIT)
+
+
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        t = Templates(batch.column(0).to_pylist())
+        # A name of one batch may be lower-case in another; both are needed to tell.
+        pairs = [(w, kind) for kind in ("names", "units", "words", "lower") for w in getattr(t, kind)]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in pairs], pa.string()), pa.array([k for _, k in pairs], pa.string())], ["word", "kind"])
 
-def _window_hashes(ids: np.ndarray) -> np.ndarray:
-    """Rolling hash of every WINDOW consecutive ids; wraps modulo 2^64."""
-    n = len(ids) - WINDOW + 1
+
+_POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 2**64)) for k in range(WINDOW)]
+
+
+def _window_hashes(alone: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    """Rolling hash of every WINDOW consecutive ids, the first typed alone; wraps modulo 2^64."""
+    n = len(alone) - WINDOW + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    factor = 0x9E3779B97F4A7C15
-    power = 1
-    for k in range(WINDOW):
-        out += ids[k : k + n] * np.uint64(power)
-        power = power * factor % 2**64
+    out = alone[:n] * _POWERS[0]
+    for k in range(1, WINDOW):
+        out += behind[k : k + n] * _POWERS[k]
     return out
 
 
-def _windows(batches: Iterator[pa.RecordBatch], templates: Templates, wanted: np.ndarray | None, spoken: bool) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (id, window, slots); only windows in ``wanted`` (sorted), if given."""
+def _among(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(wanted):
+        return np.zeros(len(hashes), bool)
+    at = np.searchsorted(wanted, hashes)
+    at[at == len(wanted)] = 0
+    return wanted[at] == hashes
+
+
+def _windows(batches: Iterator[pa.RecordBatch], templates: Templates, wanted: np.ndarray | None, spoken: bool, named: dict[int, np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+    """(id, text) -> (id, window, slots, names: bits of the places of names); only windows in ``wanted`` (sorted), if
+    given, and those in ``named`` (by the places of names) once any word counts as a name in these places."""
     for batch in batches:
-        keys, ids, slots, owner = batch.column(0).to_pylist(), [], [], []
+        keys, alone, behind, words, owner = batch.column(0).to_pylist(), [], [], [], []
         for row, text in enumerate(batch.column(1).to_pylist()):
             found = tokens(speech(text) if spoken else text or "")
             if len(found) < WINDOW:
                 continue
-            for i, s in map(templates.token, found):
-                ids.append(i)
-                slots.append(s)
+            a, b = templates.typed(found)
+            alone += a
+            behind += b
+            words += found
             owner.append((row, len(found)))
-        flat = np.array(ids, np.uint64)
-        hashes = _window_hashes(flat)
+        first, rest = np.array(alone, np.uint64), np.array(behind, np.uint64)
+        hashes = _window_hashes(first, rest)
+        n = len(hashes)
         whose = np.repeat([r for r, _ in owner], [n for _, n in owner]) if owner else np.empty(0, np.int64)
-        inside = whose[: len(hashes)] == whose[WINDOW - 1 :][: len(hashes)]
-        if wanted is not None:
-            at = np.searchsorted(wanted, hashes)
-            at[at == len(wanted)] = 0
-            inside &= wanted[at] == hashes if len(wanted) else False
-        hit = np.flatnonzero(inside)
+        inside = whose[:n] == whose[WINDOW - 1 :][:n]
+        hit = np.flatnonzero(inside if wanted is None else inside & _among(hashes, wanted))
+        at, window = [hit], [hashes[hit]]
+        forced = [0] * len(hit)
+        if named and n:
+            change = [(np.uint64(_NAME) - (rest if k else first)[k : k + n]) * _POWERS[k] for k in range(WINDOW)]
+            for places, own in named.items():
+                other = hashes.copy()
+                for k in range(WINDOW):
+                    if places >> k & 1:
+                        other += change[k]
+                hit = np.flatnonzero(inside & (other != hashes) & _among(other, own))
+                at.append(hit)
+                window.append(other[hit])
+                forced += [places] * len(hit)
+        at, slots, names = np.concatenate(at), [], []
+        for p, places in zip(at, forced):
+            kinds = [_NAME if places >> k & 1 else (behind if k else alone)[p + k] for k in range(WINDOW)]
+            shown = [skeleton(words[p + k]) for k in range(WINDOW)]
+            slots.append([s for s, i in zip(shown, kinds) if i in (_NUMBER, _NAME, _UNIT)])
+            names.append(sum(1 << k for k, i in enumerate(kinds) if i == _NAME))
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([keys[whose[p]] for p in hit], batch.schema.field(0).type),
-                pa.array(hashes[hit].view(np.int64)),
-                pa.array([[s for s in slots[p : p + WINDOW] if s is not None] for p in hit], pa.list_(pa.string())),
-            ],
-            ["id", "window", "slots"],
+            [pa.array([keys[whose[p]] for p in at], batch.schema.field(0).type), pa.array(np.concatenate(window).view(np.int64)), pa.array(slots, pa.list_(pa.string())), pa.array(names, pa.int32())],
+            ["id", "window", "slots", "names"],
         )
 
 
-def template_matches(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, spoken: bool = True) -> DataFrame:
+def template_matches(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, spoken: bool = True, any_name: bool = False) -> DataFrame:
     """doc_id, item_id, window, doc_slots, item_slots: windows of 12 template words that a document and an item share.
 
     Items go in blocks of at most ITEMS_PER_BLOCK, each one pass over the corpus, with the block's window hashes (their
-    number is bounded by the block) sent to the tasks. Null or short texts share nothing; repeated rows repeat theirs.
+    number is bounded by the block) sent to the tasks; slots are learned once, from all items. With ``any_name`` a
+    document may have any word, ordinary ones too, where the item has a name, at the cost of one search for each of the
+    different sets of places that names have in the items' windows. Null or short texts share nothing; repeated rows
+    repeat theirs.
     """
     kinds = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     corpus = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     asked = items.select(F.col(item_id).alias("id"), F.col(item_text).alias("text"))
     n_blocks = max(1, -(-asked.count() // ITEMS_PER_BLOCK))
+    templates = Templates.fitted(asked.select("text"))
+    schema = "id {}, window long, slots array<string>, names int"
     out = None
     for b in range(n_blocks):
         block = asked if n_blocks == 1 else asked.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == b)
-        rows = block.collect()
-        templates = Templates([r["text"] for r in rows])
-        schema = "id {}, window long, slots array<string>"
         item_windows = block.mapInArrow(partial(_windows, templates=templates, wanted=None, spoken=False), schema.format(kinds[1]))
-        wanted = np.unique(np.array([r[0] for r in item_windows.select("window").distinct().collect()], np.int64).view(np.uint64))
-        found = corpus.mapInArrow(partial(_windows, templates=templates, wanted=wanted, spoken=spoken), schema.format(kinds[0]))
+        places: dict[int, list[int]] = {}
+        for window, names in item_windows.select("window", "names").distinct().collect():
+            places.setdefault(names, []).append(window)
+        by_places = {k: np.unique(np.array(v, np.int64).view(np.uint64)) for k, v in places.items()}
+        wanted = np.unique(np.concatenate([*by_places.values(), np.empty(0, np.uint64)]))
+        named = {k: v for k, v in by_places.items() if k} if any_name else None
+        found = corpus.mapInArrow(partial(_windows, templates=templates, wanted=wanted, spoken=spoken, named=named), schema.format(kinds[0]))
         joined = found.select(F.col("id").alias("doc_id"), "window", F.col("slots").alias("doc_slots")).join(
             item_windows.select(F.col("id").alias("item_id"), "window", F.col("slots").alias("item_slots")), "window"
         )

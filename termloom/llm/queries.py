@@ -99,8 +99,8 @@ def p6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("score", F.round("score", 6))
 
 
-def _leak_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return template_matches(read_table(spark, sf_dir, "documents"), "doc_id", "text", read_table(spark, sf_dir, "benchmark"), "item_id", "text")
+def _leak_matches(spark: SparkSession, sf_dir: str, any_name: bool = False) -> DataFrame:
+    return template_matches(read_table(spark, sf_dir, "documents"), "doc_id", "text", read_table(spark, sf_dir, "benchmark"), "item_id", "text", any_name=any_name)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reparameterised(checkpointed(_leak_matches(spark, sf_dir)), "doc_id", "item_id")
+    return reparameterised(checkpointed(_leak_matches(spark, sf_dir, any_name=True)), "doc_id", "item_id")
 
 
 def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

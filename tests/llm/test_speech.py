@@ -74,6 +74,19 @@ def test_blocks_of_items_find_the_same(spark, monkeypatch):
     assert {(n, n) for n in range(7)} <= whole
 
 
+def test_new_units_and_names_in_any_case(spark, monkeypatch):
+    from termloom.llm import leakage
+
+    item = "Near Zopa the crews hauled 82 miles of wire past Zopa toward one frozen orchard"
+    texts = [item.replace("miles", "leagues"), item.replace("Zopa", "Keze").upper(), item.replace("Zopa", "Keze").lower(), item.replace("Zopa", "orchard")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    items = spark.createDataFrame([(70, item), (71, "An orchard hauled by the Keze crews"), (72, "short")], "item_id bigint, text string")
+    found = lambda: {tuple(r)[:2] for r in reparameterised(template_matches(docs, "doc_id", "text", items, "item_id", "text", any_name=True), "doc_id", "item_id").collect()}
+    assert found() == {(n, 70) for n in range(4)}
+    monkeypatch.setattr(leakage, "ITEMS_PER_BLOCK", 1)
+    assert found() == {(n, 70) for n in range(4)}
+
+
 def test_slot_types():
     t = Templates([ITEM])
     assert skeleton("Zopa") in t.names and skeleton("crates") in t.units and t.token("771")[1] == "771"
