@@ -427,6 +427,39 @@ _register("update_postings", update_postings, f"""with {_POSTINGS}, n as (select
 select distinct ad_uri as uri from n where n <= 2 and record_id in (select doc_id from ({_h('harbour', FULL, _SUBJECT)}))""")
 
 
+def later_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All deliveries of a URI but its first, with their record_id."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("uri").orderBy("record_id")
+    return raw_records(spark, sf_dir).withColumn("n", F.row_number().over(order)).where("n > 1").drop("n")
+
+
+def update_merge_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every delivery applied; ``update_merge`` applies the second alone, as its SQL says."""
+    e = engine(spark, sf_dir)
+    e.update(later_deliveries(spark, sf_dir), "record_id")
+    return e.docs.select("uri", F.round("weight", 6).alias("weight"), F.explode_outer("description").alias("field", "value"))
+
+
+_register("update_merge_all", update_merge_all, """with d as (select ad_uri as uri, record_id, unnest(map_entries(ad_descr)) as x from api_documents),
+m as (select uri, x.key as field, x.value as value from d qualify row_number() over (partition by uri, x.key order by record_id desc) = 1),
+k as (select * from m where value is not null and trim(value) <> 'null'),
+t as (select ad_uri as uri, round(coalesce(arg_max(ad_wght, record_id) filter (where ad_wght > 0)::double, 1.0), 6) as weight from api_documents group by ad_uri)
+select t.uri, weight, field, value from t left join k on t.uri = k.uri""")
+
+
+def update_postings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the harbour, found by any delivery."""
+    e = engine(spark, sf_dir)
+    e.update(later_deliveries(spark, sf_dir), "record_id")
+    return e.select('subject:"harbour"').select("uri")
+
+
+_register("update_postings_all", update_postings_all, f"""with {_POSTINGS}
+select distinct ad_uri as uri from api_documents where record_id in (select doc_id from ({_h('harbour', FULL, _SUBJECT)}))""")
+
+
 def insert_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine.duplicate_uris(raw_records(spark, sf_dir))
 

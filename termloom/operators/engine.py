@@ -100,13 +100,24 @@ class Engine:
     def duplicate_uris(raw: DataFrame) -> DataFrame:
         return raw.groupBy("uri").agg(F.count("*").alias("n")).where("n > 1").select("uri", "n")
 
-    def update(self, records: DataFrame | list[dict]) -> None:
+    def update(self, records: DataFrame | list[dict], order: str | None = None) -> None:
         """409 if a URI is not there. Descriptions merge (new fields win, null removes), a set weight replaces, words
-        are added to those already found."""
-        raw = self._records(records)
+        are added to those already found. A URI that comes again in a list, or in a DataFrame with a column ``order``,
+        is updated by each of its records in order; in a DataFrame without one that is 409."""
+        if not isinstance(records, DataFrame):
+            order = "_order"
+            numbered = [(n, r["uri"], r.get("index"), r.get("description"), None if r.get("weight") is None else float(r["weight"])) for n, r in enumerate(records)]
+            raw = self.spark.createDataFrame(numbered, f"_order long, {RECORD}")
+        else:
+            raw = records
         self._check_contexts(raw)
+        if order is None:
+            twice = [r[0] for r in self.duplicate_uris(raw).limit(20).collect()]
+            if twice:
+                raise QueryError(409, f"duplicate uris: {', '.join(sorted(map(str, twice)))}")
         empty = F.create_map().cast("map<string,string>")
-        change = raw.select(analysis.doc_key(F.col("uri")).alias("doc_id"), "uri", F.coalesce("description", empty).alias("new"), F.when(F.col("weight") > 0, F.col("weight").cast("double")).alias("new_weight"))
+        folded = raw if order is None else self._folded(raw, order)
+        change = folded.select(analysis.doc_key(F.col("uri")).alias("doc_id"), "uri", F.coalesce("description", empty).alias("new"), F.when(F.col("weight") > 0, F.col("weight").cast("double")).alias("new_weight"))
         absent = [r[0] for r in change.join(self.docs.select("doc_id"), "doc_id", "left_anti").select("uri").limit(20).collect()]
         if absent:
             raise QueryError(409, f"documents do not exist: {', '.join(sorted(absent))}")
@@ -117,6 +128,15 @@ class Engine:
         )
         self._publish(merged, merge_postings(self.postings, checkpointed(analysis.postings(analysis.documents(raw), self.schemas))))
 
+    @staticmethod
+    def _folded(raw: DataFrame, order: str) -> DataFrame:
+        """uri, description, weight: one row per URI, the last value of each field and the last set weight. Fields are
+        grouped, not records, so no URI's records gather in one row."""
+        fields = raw.select("uri", order, F.explode("description").alias("field", "value")).groupBy("uri", "field").agg(F.max_by("value", order).alias("value"))
+        described = fields.groupBy(F.col("uri").alias("_uri")).agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("description"))
+        weights = raw.groupBy("uri").agg(F.max_by("weight", F.when(F.col("weight") > 0, F.col(order))).alias("weight"))
+        return weights.join(described, F.col("uri").eqNullSafe(F.col("_uri")), "left").drop("_uri")
+
     def delete(self, uris: list[str] | DataFrame) -> None:
         """Unknown URIs are ignored."""
         gone = uris if isinstance(uris, DataFrame) else self.spark.createDataFrame([(u,) for u in uris], "uri string")

@@ -238,3 +238,19 @@ def test_random_corpora_against_brute_force(spark):
     rows = {u for u, ix in texts.items() for c in ix for x, y in zip(ix[c].split(), ix[c].split()[1:]) if x.lower() == "ab" and y == "c"}
     assert set(uris(e, '"ab c"')) == rows
     assert set(parse('"ab c"').args) and e.docs.where(F.col("weight") != 1).count() == 0
+
+
+def test_update_of_one_uri_several_times(spark):
+    e = Engine(spark, SCHEMAS)
+    e.insert([{"uri": "t://1", "index": {"title": "one"}, "description": {"a": "1", "b": "1", "c": "1"}}])
+    batch = [
+        {"uri": "t://1", "index": {"title": "two"}, "description": {"a": "2", "b": "null", "d": "2"}, "weight": 2.0},
+        {"uri": "t://1", "index": {"title": "three"}, "description": {"a": "3", "d": "null"}},
+        {"uri": "t://1", "description": {"b": "4"}, "weight": -1.0},
+    ]
+    e.update(batch)
+    assert [(r["uri"], r["description"], r["weight"]) for r in e.docs.collect()] == [("t://1", {"a": "3", "b": "4", "c": "1"}, 2.0)]
+    assert [uris(e, w) for w in ("one", "two", "three")] == [["t://1"]] * 3
+    with pytest.raises(QueryError) as error:
+        e.update(e._records(batch))
+    assert error.value.code == 409
