@@ -40,13 +40,20 @@ def _key(*parts: object) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(map(str, parts)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def _name_and_extension(segment: str) -> tuple[str, str]:
+    name, dot, extension = segment.rpartition(".")
+    if not dot or not re.fullmatch(r"[A-Za-z0-9]{1,5}", extension) or extension.isdigit():
+        return segment, ""
+    return name, dot + extension
+
+
 def parse(uri: str | None) -> tuple | None:
     """(spelling, directory, tail, page, digits, key_a, key_b); None without a resource.
 
     The spelling is equal for URIs that differ only in what servers and browsers ignore: blanks around, protocol,
     ``www.``, case of scheme and host, default ports, dot segments, repeated and final slashes, a directory's default
     document, escapes, fragments, order of parameters and tracking parameters. ``page`` is the last hyphenated path
-    segment (null if there is none), ``tail`` its extension and all that follows; its keys are those of the first and of the second half of its words, so one slip leaves one of them intact.
+    segment that holds letters (null if there is none), ``tail`` its extension and all that follows; its keys are those of the first and of the second half of its words, so one slip leaves one of them intact.
     """
     uri = re.sub(r"[\t\r\n]", "", uri or "").strip().strip("​﻿⁠")
     if not uri:
@@ -72,17 +79,15 @@ def parse(uri: str | None) -> tuple | None:
     params = sorted(_escaped(p) for p in query.split("&") if p and not TRACKING.fullmatch(p.partition("=")[0]))
     query = "?" + "&".join(params) if params else ""
     spelling = "//" + "/".join([host, *segments]) + query
-    at = next((i for i in reversed(range(len(segments))) if "-" in unquote(segments[i])), None)
+    parts = map(_name_and_extension, segments)
+    at, (name, extension) = max(((i, p) for i, p in enumerate(parts) if "-" in unquote(p[0]) and re.search(r"[^\W\d_]", unquote(p[0]))), default=(None, ("", "")))
     if at is None:
         return (spelling, None, None, None, None, None, None)
-    name, dot, extension = segments[at].rpartition(".")
-    if not dot or not re.fullmatch(r"[A-Za-z0-9]{1,5}", extension) or extension.isdigit():
-        name, dot, extension = segments[at], "", ""
     name = unquote(name)
     words = name.split("-")
     half = (len(words) + 1) // 2
     directory = "/".join([host, *segments[:at]])
-    tail = "/".join([dot + extension, *segments[at + 1 :]]) + query
+    tail = "/".join([extension, *segments[at + 1 :]]) + query
     digits = "-".join(re.findall(r"\d+", name))
     a, b = "-".join(words[:half]), "-".join(words[half:])
     return (spelling, directory, tail, name, digits, _key("a", host, len(words), a), _key("b", host, len(words), b))

@@ -76,3 +76,13 @@ def test_weights():
     few = FieldWeights()
     few.learn({(True,) * 4: 1})
     assert few.score((True,) * 4) > 0
+
+
+def test_page_names_above_hyphenated_numbers():
+    from termloom.llm.linkage import one_slip, parse
+
+    a, b = (parse(f"http://a.example/2011/05/{name}/page/6829-8685.html") for name in ("vuzukra-filadi-tree", "vuzukra-filadi-tre"))
+    assert a[1:4] == ("a.example/2011/05", "/page/6829-8685.html", "vuzukra-filadi-tree")
+    assert a[1:3] == b[1:3] and a[4] == b[4] and one_slip(a[3], b[3]) and (a[5] == b[5] or a[6] == b[6])
+    assert parse("http://a.example/x/2914-8254")[3] is None
+    assert parse("http://a.example/x/some-page.html")[1:4] == ("a.example/x", ".html", "some-page")
