@@ -30,17 +30,27 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(docs.select("record_id", F.col("ad_index")["content"].alias("content")))
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _linked(spark: SparkSession, sf_dir: str, reopened: bool) -> DataFrame:
     records = read_table(spark, sf_dir, "api_documents").select("record_id", "batch_no", "ad_uri")
     store = LinkStore(spark)
     store.load_history(records.where("batch_no = 0"), "record_id", "ad_uri")
     repeats = None
     for n in sorted(r[0] for r in records.where("batch_no > 0").select("batch_no").distinct().collect()):
+        store = LinkStore(spark, store.path) if reopened else store
         found = store.accept(records.where(F.col("batch_no") == n), "record_id", "ad_uri")
         repeats = found if repeats is None else repeats.unionByName(found)
     return repeats if repeats is not None else spark.createDataFrame([], "first_id long, record_id long")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _linked(spark, sf_dir, reopened=False)
+
+
+def p1_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, with the store opened anew for every batch."""
+    return _linked(spark, sf_dir, reopened=True)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TermStatistics(contents(spark, sf_dir), "content").verdicts().where("verdict is not null").select("term", "verdict")
 
@@ -124,6 +134,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p1_reopened": p1_reopened,
     "p2_found": p2_found,
     "p2_terms": p2_terms,
     "p3_found": p3_found,
