@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from termloom.llm.distinctiveness import distinctive_terms, query_words
 from termloom.llm.leakage import leaked, reparameterised, template_matches
 from termloom.llm.linkage import LinkStore
-from termloom.llm.lookalikes import canonical_texts, lookalike_pairs
+from termloom.llm.lookalikes import canonical_texts, lookalike_classes, lookalike_pairs
 from termloom.llm.main_content import PathRatios, pages_of
 from termloom.llm.packing import pack, token_counts
 from termloom.llm.reading_level import ReadingLevel
@@ -76,6 +76,10 @@ def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(canonical_texts(rows), "text", "left").select("tab", "key", F.coalesce("canonical", "text").alias("canonical"))
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike_classes(_short_texts(spark, sf_dir), "tab", "key", "text")
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(pages_of(read_table(spark, sf_dir, "api_documents"), "record_id", "ad_uri", "ad_index['content']", "ad_index['subject']"))
 
@@ -139,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_terms": p2_terms,
     "p3_found": p3_found,
     "p3_canonical": p3_canonical,
+    "p3_classes": p3_classes,
     "p4_found": p4_found,
     "p4_pages": p4_pages,
     "p6_found": p6_found,

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,12 +74,37 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _runs(block)
 
 
+def _merged_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs sorted by term -> one row per term: equal neighbours are one run, also across batches."""
+    names = ["term", "occurrences", "records"]
+    last: tuple | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        term = b.column(0)
+        new = np.r_[True, np.asarray(pc.not_equal(term[1:], term[:-1]))] if b.num_rows > 1 else np.array([True])
+        starts = np.flatnonzero(new)
+        terms = term.take(pa.array(starts))
+        occurrences = np.add.reduceat(b.column(1).to_numpy(), starts)
+        records = np.add.reduceat(b.column(2).to_numpy(), starts)
+        if last is not None and last[0] == terms[0].as_py():
+            occurrences[0] += last[1]
+            records[0] += last[2]
+        elif last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(last, (pa.string(), pa.int64(), pa.int64()))], names)
+        last = (terms[-1].as_py(), int(occurrences[-1]), int(records[-1]))
+        yield pa.RecordBatch.from_arrays([terms[:-1], pa.array(occurrences[:-1], pa.int64()), pa.array(records[:-1], pa.int64())], names)
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(last, (pa.string(), pa.int64(), pa.int64()))], names)
+
+
 class TermStatistics:
-    """Occurrences and records of every term of one text column.
+    """Occurrences and records of every term of one text column, by an external sort.
 
-    Each task sorts the (term, record) pairs of its blocks and scans them by run length, so only one run per term and
-    block leaves it; the runs are then range-partitioned by term, sorted, and merged without another exchange. A hot
-    term is one row per block, whatever share of the rows it has.
+    Each task sorts the (term, record) pairs of its blocks and scans them by run length; these sorted runs, one row per
+    term and block, are written, range-partitioned by term, merged by Spark's external sort, and scanned by run length
+    once more. A record lies in one block, so its numbers add up. A hot term is one row per block, whatever share of the
+    rows it has.
 
     Every row is one record: repeated rows count as often as they come. A null text is a record without terms, as an
     empty one is. Other columns of ``df`` are not read, so their names do not matter. An empty table has no terms,
@@ -93,14 +119,9 @@ class TermStatistics:
         self.n_tokens: int = total["o"] or 0
 
     def table(self) -> DataFrame:
-        """term, occurrences, records; sorted by term within range partitions."""
-        return (
-            self._runs.where("term is not null")
-            .repartitionByRange("term")
-            .sortWithinPartitions("term")
-            .groupBy("term")
-            .agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-        )
+        """term, occurrences, records; in the order of terms, within and across partitions."""
+        runs = self._runs.where("term is not null").repartitionByRange("term").sortWithinPartitions("term")
+        return runs.mapInArrow(_merged_runs, "term string, occurrences long, records long")
 
     def verdicts(self, rare_records: int = 2, common_percent: int = 55) -> DataFrame:
         """term, occurrences, records, verdict: 'rare' in at most ``rare_records`` records, 'common' in at least

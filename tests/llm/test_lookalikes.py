@@ -1,6 +1,6 @@
 import pytest
 
-from termloom.llm.lookalikes import Trie, by_table, canonical_texts, lookalike_pairs
+from termloom.llm.lookalikes import Trie, by_table, canonical_texts, lookalike_classes, lookalike_pairs
 
 PLAIN = "Bar of Ünïque fíve"
 ODD = ["Bаr оf Ünïque fíve", "Bar of Ünïque ﬁve".replace("ﬁve", "fíve"), "Ｂａｒ of Ünïque fíve", "Bar of Ünïque fíve", "B​ar⁠ of Ün­ïque fíve", "Bar of Ünïque fíve"]
@@ -20,6 +20,28 @@ def test_trie():
     assert t.match("fívе") == "fíve" and t.match("ﬁve") == "five" and t.match("fiv") is None
     assert t.match("fivx", budget=1) == "five" and t.match("fivve", budget=1) == "five" and t.match("iv", budget=1) is None
     assert t.match("") is None and Trie().match("x") is None
+    t.add("list", 4)
+    t.add("100", 1)
+    assert t.match("\u0406ist") == "list" and t.match("1\u041e\u041e") == "100" and t.match("1\u041e\u041e", budget=0) is None
+    t.add("Iist", 1)
+    assert t.match("\u0406ist") == "Iist"
+
+
+def test_the_vocabulary_decides(spark):
+    """A letter with two readings is read as the word of the collection that it makes; the table alone knows one."""
+    texts = ["the list of 100", "the \u0406ist of 1\u041e\u041e", "\u0406n here", "In there", "a\ttab", "a tab", "no\u00a0w\u043erd", "\u0430\u0431\u0432"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r["text"]: r["canonical"] for r in canonical_texts(df).collect()}
+    assert got == {texts[1]: texts[0], texts[2]: "In here", texts[4]: texts[5], texts[6]: "no word", texts[7]: "a\u0431\u0432"}
+    assert by_table(texts[1]) != texts[0]
+
+
+def test_classes(spark):
+    rows = [("g", 5, "same"), ("g", 3, "s\u0430me"), ("g", 9, "s\u0430me"), ("g", 4, "other"), ("h", 1, "same"), ("g", 2, None)]
+    df = spark.createDataFrame(rows, "g string, k bigint, t string")
+    got = sorted(tuple(r) for r in lookalike_classes(df, "g", "k", "t").collect())
+    assert got == [("g", 3, 3, 2), ("g", 5, 3, 2), ("g", 9, 3, 2)]
+    assert lookalike_classes(df.where("false"), "g", "k", "t").count() == 0
 
 
 def test_pairs_against_brute_force(spark):

@@ -35,9 +35,29 @@ def test_statistics_against_brute_force(rows):
     assert verdicts["cat"] == "common" and verdicts["the"] is None and verdicts["dog"] == "rare"
 
 
-def test_table_is_sorted_within_ranges(rows):
-    parts = TermStatistics(rows, "body").table().withColumn("p", F.spark_partition_id()).collect()
-    assert len({r["term"] for r in parts}) == len(parts)
+def test_table_comes_in_order(spark, monkeypatch):
+    """Small blocks, so that terms come in several runs, over several range partitions."""
+    from termloom.llm import terms
+
+    monkeypatch.setattr(terms, "BLOCK_CHARS", 200)
+    texts = [" ".join(f"w{(i * k) % 97}" for k in range(40)) for i in range(60)]
+    stats = TermStatistics(spark.createDataFrame([(t,) for t in texts], "body string").repartition(3), "body")
+    got = [(r["p"], r["term"]) for r in stats.table().withColumn("p", F.spark_partition_id()).collect()]
+    assert [t for _, t in got] == sorted({w for t in texts for w in t.split()}) and got == sorted(got)
+    plan = stats.table()._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [term" in plan and "rangepartitioning(term" in plan
+
+
+def test_runs_merge_over_batches():
+    import pyarrow as pa
+
+    from termloom.llm.terms import _merged_runs
+
+    rows = [("a", 1, 1), ("a", 2, 1), ("b", 5, 2), ("b", 1, 1), ("b", 1, 1), ("c", 1, 1)]
+    for cut in range(len(rows) + 1):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], [pa.string(), pa.int64(), pa.int64()][k]) for k in range(3)], ["term", "occurrences", "records"]) for part in (rows[:cut], rows[cut:])]
+        got = [tuple(r.values()) for b in _merged_runs(iter(batches)) for r in b.to_pylist()]
+        assert got == [("a", 3, 2), ("b", 7, 4), ("c", 1, 1)]
 
 
 def test_empty(spark):
