@@ -12,10 +12,10 @@ from termloom.llm.leakage import leaked, reparameterised, template_matches
 from termloom.llm.linkage import LinkStore
 from termloom.llm.lookalikes import canonical_texts, lookalike_classes, lookalike_pairs
 from termloom.llm.main_content import PathRatios, pages_of
-from termloom.llm.packing import pack, token_counts
+from termloom.llm.packing import fill_report, kept_rules, pack, token_counts
 from termloom.llm.reading_level import ReadingLevel
 from termloom.llm.terms import TermStatistics
-from termloom.runtime import checkpointed, spread
+from termloom.runtime import checkpointed, shared_path, spread, written
 from termloom.runtime import read_table as stored_table
 
 
@@ -130,6 +130,16 @@ def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(counts, "doc_id", "n_tokens", read_table(spark, sf_dir, "containers"))
 
 
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_report(p7_packing(spark, sf_dir))
+
+
+def p7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in every kind of container, and whether the rules of packing hold there."""
+    packed = written(p7_packing(spark, sf_dir), shared_path(spark, "packing"))
+    return kept_rules(packed, "doc_id", read_table(spark, sf_dir, "containers"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").where("lang = 'en'")
     model = ReadingLevel.fit(docs, "doc_id", "text", read_table(spark, sf_dir, "labels"), "doc_id", "grade")
@@ -149,6 +159,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_scores": p6_scores,
     "p7_packing": p7_packing,
+    "p7_fill": p7_fill,
+    "p7_rules": p7_rules,
     "p8_found": p8_found,
     "p8_reparameterised": p8_reparameterised,
     "p9_found": p9_found,
@@ -170,6 +182,7 @@ s as (select f.record_id, f.term, f.tf, v.records, f.tf * log2(1 + mean_len / le
 """
 
 SQL: dict[str, str] = {
+    "p7_rules": "select container_kind, doc_id, true as kept from containers, documents",
     "p2_found": _TERMS + "select term, verdict from w where verdict is not null",
     "p2_terms": _TERMS + "select term, occurrences, records, verdict from w",
     "p6_scores": _SCORES + "select record_id, term, tf, records, round((log2(1 + m) + tfn * log2((1 + m) / m)) / (tfn + 1), 6) as score from s",

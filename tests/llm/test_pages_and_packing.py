@@ -79,6 +79,17 @@ def test_best_fit():
     assert best_fit(np.array([3]), [4, 8])[2] == [4]  # downsized
 
 
+def test_the_size_of_a_bin_is_chosen():
+    """Three items of 1,390 don't go into 4,096, so bins of 1,400 cost less; with one size two thirds stay empty. Items
+    of 1,360 fill the larger bins."""
+    assert set(best_fit(np.full(99, 1390), [1400, 4096])[2]) == {1400}
+    assert set(best_fit(np.full(99, 1360), [1400, 4096])[2]) == {4096}
+    rng = np.random.default_rng(3)
+    for sizes in (rng.integers(900, 1400, 500), rng.choice([1390, 700, 2040], 500), rng.integers(1, 2000, 500)):
+        both, one = (best_fit(sizes, permitted)[2] for permitted in ([1400, 2048, 4096], [4096]))
+        assert sum(both) <= sum(one)
+
+
 def check(packed: pd.DataFrame, counts: dict, boxes: dict):
     for kind, limit in boxes.items():
         own = packed[packed.container_kind == kind]
@@ -100,8 +111,15 @@ def test_pack(spark, monkeypatch):
     containers = spark.createDataFrame([*boxes.items(), ("none", None), ("zero", 0)], "container_kind string, capacity int")
     for kind, fill in check(pack(df, "id", "n", containers).toPandas(), counts, boxes):
         assert fill > 0.95, kind
-    monkeypatch.setattr(packing, "ITEMS_PER_SHARD", 300)
-    assert dict(check(pack(df, "id", "n", containers).toPandas(), counts, boxes)).keys() == boxes.keys()
+    whole = dict(check(pack(df, "id", "n", containers).toPandas(), counts, boxes))
+    for items in (1000, 200):  # 2 and 10 shards
+        monkeypatch.setattr(packing, "ITEMS_PER_SHARD", items)
+        packed = pack(df, "id", "n", containers)
+        shards = dict(check(packed.toPandas(), counts, boxes))
+        assert all(shards[k] > whole[k] - 0.01 for k in boxes)
+        assert packing.kept_rules(packed, "id", containers.where("capacity > 0")).where("kept").count() == 2 * len(counts)
+        report = {r["container_kind"]: r["fill"] for r in packing.fill_report(packed).where("bin_capacity = 64").collect()}
+        assert report["short"] == pytest.approx(shards["short"], abs=1e-3)
     assert pack(df.where("false"), "id", "n", containers).count() == 0
     assert pack(df, "id", "n", containers.where("false")).count() == 0
 
