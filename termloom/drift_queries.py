@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.operators import schema_drift as sd
-from termloom.runtime import checkpointed, read_table, spread
+from termloom.runtime import checkpointed, read_table, shared_path, spread, written
 
 
 def _sources(spark: SparkSession, sf_dir: str):
@@ -17,27 +19,52 @@ def _sources(spark: SparkSession, sf_dir: str):
     )
 
 
-def _profiles(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {tab: checkpointed(sd.file_profiles(df, "feed", file_no, entries)) for tab, df, file_no, _, entries in _sources(spark, sf_dir)}
+def _ingested(spark: SparkSession, sf_dir: str):
+    """tab -> (schemas of its files, its rows ingested against the former file's schema)."""
+    out = {}
+    for tab, df, file_no, _, entries in _sources(spark, sf_dir):
+        schemas = checkpointed(sd.file_schemas(df, "feed", file_no, entries))
+        out[tab] = schemas, sd.ingest_files(df, "feed", file_no, entries, schemas)
+    return out
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [sd.changes(p).select(F.lit(tab).alias("tab"), "*") for tab, p in _profiles(spark, sf_dir).items()]
+    parts = [sd.changes(rows).select(F.lit(tab).alias("tab"), "*") for tab, (_, rows) in _ingested(spark, sf_dir).items()]
     return parts[0].unionByName(parts[1])
 
 
 def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both tables with one set of typed fields; what fits none is in ``rescued``."""
-    profiles = _profiles(spark, sf_dir)
-    every = profiles["api_documents"].unionByName(profiles["doc_descs"])
-    changed = sd.changes(profiles["api_documents"]).unionByName(sd.changes(profiles["doc_descs"]))
-    ingest = sd.RescueIngest(*sd.target_schema(every, changed))
+    """Both tables with one set of typed fields. The rows are ingested against the fields of the feeds' first files; the
+    fields and names that the report finds later are approved, and what was rescued of them is replayed into their
+    columns. What fits none stays in ``rescued``."""
+    ingested = _ingested(spark, sf_dir)
+    schemas = [s for s, _ in ingested.values()]
+    changed = checkpointed(sd.changes(ingested["api_documents"][1]).unionByName(sd.changes(ingested["doc_descs"][1])))
+    target, aliases = sd.target_schema(schemas[0].unionByName(schemas[1]), changed)
+    first = {r[0] for s in schemas for r in s.where("seq = 1").select(F.explode(F.map_keys("own"))).distinct().collect()}
+    early = {a: n for a, n in aliases.items() if a in first}
+    ingest = sd.RescueIngest({n: t for n, t in target.items() if n in early.values()}, early)
     parts = []
     for tab, df, file_no, key, entries in _sources(spark, sf_dir):
         keyed = df.select(F.lit(tab).alias("tab"), "feed", F.col(file_no).alias("file_no"), F.col(key).alias("key"), entries.alias("_source"))
         parts.append(ingest.ingest(keyed, ["tab", "feed", "file_no", "key"], F.col("_source")))
-    return parts[0].unionByName(parts[1])
+    table = written(parts[0].unionByName(parts[1]), shared_path(spark, "ingested"))
+    late = {a: n for a, n in aliases.items() if a not in first}
+    return ingest.replay(table, {n: t for n, t in target.items() if n not in ingest.target}, late)
+
+
+def p5_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries that are not null, of each file, as the ingested table holds them in columns and in the rescue column."""
+    table = p5_table(spark, sf_dir)
+    typed = [F.col(f"`{c}`").isNotNull().cast("long") for c in table.columns if c not in ("tab", "feed", "file_no", "key", "rescued")]
+    held = reduce(lambda a, b: a + b, [*typed, F.coalesce(F.size("rescued"), F.lit(0)).cast("long")])
+    return table.groupBy("tab", "feed", "file_no").agg(F.sum(held).alias("entries"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_table": p5_table}
-SQL: dict[str, str] = {}
+QUERIES = {"p5_found": p5_found, "p5_table": p5_table, "p5_entries": p5_entries}
+SQL: dict[str, str] = {
+    "p5_entries": """with d as (select 'doc_descs' as tab, feed, file_no, case when json_valid(un_desc) and json_type(un_desc) = 'OBJECT' then un_desc::json end as j from doc_descs),
+k as (select tab, feed, file_no, len(list_filter(json_keys(j), lambda x: json_type(j, '$."' || x || '"') <> 'NULL')) as n from d),
+a as (select 'api_documents' as tab, feed, batch_no as file_no, len(list_filter(map_values(ad_descr), lambda v: v is not null and trim(v) <> 'null')) as n from api_documents)
+select tab, feed, file_no, coalesce(sum(n), 0)::bigint as entries from (select * from k union all select * from a) group by all""",
+}

@@ -17,16 +17,37 @@ def files(spark):
     return spark.createDataFrame(rows, "feed string, file_no int, key int, js string").withColumn("field", F.lit("clash"))
 
 
+def report(df):
+    entries = sd.entries_of_json(F.col("js"))
+    schemas = sd.file_schemas(df, "feed", "file_no", entries)
+    return sd.changes(sd.ingest_files(df, "feed", "file_no", entries, schemas))
+
+
 def test_changes(files):
-    profiles = sd.file_profiles(files, "feed", "file_no", sd.entries_of_json(F.col("js")))
-    got = {tuple(r) for r in sd.changes(profiles).collect()}
-    assert got == {("f", 2, "renamed", "size", "bytes"), ("f", 2, "removed", "old", ""), ("f", 2, "added", "add", ""), ("f", 2, "retyped", "legs", "")}
+    got = {tuple(r) for r in report(files).collect()}
+    want = {("renamed", "size", "bytes"), ("removed", "old", ""), ("added", "add", ""), ("retyped", "legs", "")}
+    assert got == {("f", 2, *c) for c in want} | {("g", 1, "removed", "a", "")}
+    # Feeds and files without a name are feeds and files.
+    nameless = {tuple(r) for r in report(files.withColumn("feed", F.when(F.col("feed") != "f", F.col("feed"))).where("coalesce(feed, '') <> 'g' and key < 900")).collect()}
+    assert nameless == {(None, 2, *c) for c in want}
+    first = files.where("feed = 'f'").withColumn("file_no", F.when(F.col("file_no") > 0, F.col("file_no")))
+    assert {tuple(r) for r in report(first).collect()} == {("f", 2, *c) for c in want}
+
+
+def test_the_report_is_made_of_rescued_entries(files):
+    entries = sd.entries_of_json(F.col("js"))
+    schemas = sd.file_schemas(files, "feed", "file_no", entries)
+    ingested = sd.ingest_files(files, "feed", "file_no", entries, schemas)
+    seen = {r[0] for r in ingested.where("feed = 'f' and file_no = 2").select(F.explode(F.map_keys("rescued"))).distinct().collect()}
+    assert seen == {"bytes", "legs", "add"}
+    without = ingested.withColumn("rescued", F.map_filter("rescued", lambda k, v: F.lit(False)))
+    assert {r["change"] for r in sd.changes(without).collect()} == {"removed"}
 
 
 def _renames(spark, n, old, new):
     rows = [("f", file, i, json.dumps({f"{k}{file}": v(i) for k, v in values.items()})) for file, values in enumerate((old, new)) for i in range(n)]
     df = spark.createDataFrame(rows, "feed string, file_no int, key int, js string")
-    changed = sd.changes(sd.file_profiles(df, "feed", "file_no", sd.entries_of_json(F.col("js"))))
+    changed = report(df)
     return {(r["field_name"][:-1], r["new_name"][:-1]) for r in changed.where("change = 'renamed'").collect()}
 
 
@@ -55,8 +76,7 @@ def test_types(spark):
 
 
 def test_empty(files):
-    none = sd.file_profiles(files.where("false"), "feed", "file_no", sd.entries_of_json(F.col("js")))
-    assert none.count() == 0 and sd.changes(none).count() == 0
+    assert report(files.where("false")).count() == 0
 
 
 def test_rescue_and_replay(spark):
@@ -65,7 +85,23 @@ def test_rescue_and_replay(spark):
     table = ingest.ingest(df, ["key"], sd.entries_of_json(F.col("js")))
     got = {r["key"]: (r["a"], r["b"], r["rescued"]) for r in table.collect()}
     assert got == {1: (1, "x", {"new": '{"k":[1]}'}), 2: (2, None, {"a": '"no"'}), 3: (None, None, None), 4: (12, None, {"b": "5"})}
-    again = ingest.replay(table, ["key"], {"new": "object"})
+    again = ingest.replay(table, {"new": "object"})
     assert {r["key"]: (r["new"], r["rescued"]) for r in again.collect()} == {1: ('{"k":[1]}', None), 2: (None, {"a": '"no"'}), 3: (None, None), 4: (None, {"b": "5"})}
-    target, aliases = sd.target_schema(sd.file_profiles(df.withColumn("feed", F.lit("f")).withColumn("n", F.lit(0)), "feed", "n", sd.entries_of_json(F.col("js"))), spark.createDataFrame([("f", 1, "renamed", "A2", "a")], "feed string, file_no int, change string, field_name string, new_name string"))
+    schemas = sd.file_schemas(df.withColumn("feed", F.lit("f")).withColumn("n", F.lit(0)), "feed", "n", sd.entries_of_json(F.col("js")))
+    target, aliases = sd.target_schema(schemas, spark.createDataFrame([("f", 1, "renamed", "A2", "a")], "feed string, file_no int, change string, field_name string, new_name string"))
     assert target["a"] == "integer" and aliases["A2"] == "a"
+
+
+def test_replay_gives_what_direct_ingestion_gives(spark):
+    """Fields and names approved later, one of them another name of a column that is there."""
+    values = ['{"a": 1, "b": "x"}', '{"A2": 2, "c": true}', '{"a": null, "A2": "7", "c": "no", "d": [1]}', '{"a": 3, "A2": 4, "d": {}}', "[]", None, '{"c": "maybe", "z": 1.5}']
+    df = spark.createDataFrame(list(enumerate(values)), "key int, js string")
+    entries = sd.entries_of_json(F.col("js"))
+    target, aliases = {"a": "integer", "b": "text", "c": "boolean", "d": "list"}, {"A2": "a"}
+    direct = sd.RescueIngest(target, aliases).ingest(df, ["key"], entries)
+    early = sd.RescueIngest({"a": "integer", "b": "text"})
+    table = early.ingest(df, ["key"], entries)
+    late = early.replay(table, {"c": "boolean", "d": "list"}, aliases)
+    rows = lambda d: sorted((r["key"], r["a"], r["b"], r["c"], r["d"], sorted((r["rescued"] or {}).items())) for r in d.collect())
+    assert str(rows(late)) == str(rows(direct)) and early.target == target
+    assert rows(direct)[2][1:5] == (7, None, False, "[1]") and rows(direct)[3][1] == 3 and dict(rows(direct)[3][5]) == {"A2": "4", "d": "{}"}
