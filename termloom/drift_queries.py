@@ -11,44 +11,38 @@ from termloom.operators import schema_drift as sd
 from termloom.runtime import checkpointed, read_table, shared_path, spread, written
 
 
-def _sources(spark: SparkSession, sf_dir: str):
-    """(tab, table, file number, key, entries) of the two tables."""
-    return (
-        ("api_documents", spread(read_table(spark, sf_dir, "api_documents").select("record_id", "feed", "batch_no", "ad_descr")), "batch_no", "record_id", sd.entries_of_fragments(F.col("ad_descr"))),
-        ("doc_descs", spread(read_table(spark, sf_dir, "doc_descs").select("desc_id", "feed", "file_no", "un_desc")), "file_no", "desc_id", sd.entries_of_json(F.col("un_desc"))),
-    )
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source (table and feed), file_no, key and entries of both tables."""
+    records = spread(read_table(spark, sf_dir, "api_documents").select("record_id", "feed", "batch_no", "ad_descr"))
+    descriptions = spread(read_table(spark, sf_dir, "doc_descs").select("desc_id", "feed", "file_no", "un_desc"))
+    row = lambda tab, file_no, key, entries: [F.struct(F.lit(tab).alias("tab"), "feed").alias("source"), F.col(file_no).alias("file_no"), F.col(key).alias("key"), entries.alias("entries")]
+    parts = records.select(*row("api_documents", "batch_no", "record_id", sd.entries_of_fragments(F.col("ad_descr"))))
+    return parts.unionByName(descriptions.select(*row("doc_descs", "file_no", "desc_id", sd.entries_of_json(F.col("un_desc")))))
 
 
-def _ingested(spark: SparkSession, sf_dir: str):
-    """tab -> (schemas of its files, its rows ingested against the former file's schema)."""
-    out = {}
-    for tab, df, file_no, _, entries in _sources(spark, sf_dir):
-        schemas = checkpointed(sd.file_schemas(df, "feed", file_no, entries))
-        out[tab] = schemas, sd.ingest_files(df, "feed", file_no, entries, schemas)
-    return out
+def _ingested(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The schemas of the files, and the rows ingested each against the former file's."""
+    schemas = checkpointed(sd.file_schemas(rows, "source", "file_no", F.col("entries")))
+    return schemas, sd.ingest_files(rows, "source", "file_no", F.col("entries"), schemas)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [sd.changes(rows).select(F.lit(tab).alias("tab"), "*") for tab, (_, rows) in _ingested(spark, sf_dir).items()]
-    return parts[0].unionByName(parts[1])
+    _, ingested = _ingested(_rows(spark, sf_dir))
+    return sd.changes(ingested).select("feed.tab", "feed.feed", "file_no", "change", "field_name", "new_name")
 
 
 def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both tables with one set of typed fields. The rows are ingested against the fields of the feeds' first files; the
     fields and names that the report finds later are approved, and what was rescued of them is replayed into their
     columns. What fits none stays in ``rescued``."""
-    ingested = _ingested(spark, sf_dir)
-    schemas = [s for s, _ in ingested.values()]
-    changed = checkpointed(sd.changes(ingested["api_documents"][1]).unionByName(sd.changes(ingested["doc_descs"][1])))
-    target, aliases = sd.target_schema(schemas[0].unionByName(schemas[1]), changed)
-    first = {r[0] for s in schemas for r in s.where("seq = 1").select(F.explode(F.map_keys("own"))).distinct().collect()}
+    rows = _rows(spark, sf_dir)
+    schemas, ingested = _ingested(rows)
+    target, aliases = sd.target_schema(schemas, checkpointed(sd.changes(ingested)))
+    first = {r[0] for r in schemas.where("seq = 1").select(F.explode(F.map_keys("own"))).distinct().collect()}
     early = {a: n for a, n in aliases.items() if a in first}
     ingest = sd.RescueIngest({n: t for n, t in target.items() if n in early.values()}, early)
-    parts = []
-    for tab, df, file_no, key, entries in _sources(spark, sf_dir):
-        keyed = df.select(F.lit(tab).alias("tab"), "feed", F.col(file_no).alias("file_no"), F.col(key).alias("key"), entries.alias("_source"))
-        parts.append(ingest.ingest(keyed, ["tab", "feed", "file_no", "key"], F.col("_source")))
-    table = written(parts[0].unionByName(parts[1]), shared_path(spark, "ingested"))
+    keyed = rows.select("source.tab", "source.feed", "file_no", "key", F.col("entries").alias("_source"))
+    table = written(ingest.ingest(keyed, ["tab", "feed", "file_no", "key"], F.col("_source")), shared_path(spark, "ingested"))
     late = {a: n for a, n in aliases.items() if a not in first}
     return ingest.replay(table, {n: t for n, t in target.items() if n not in ingest.target}, late)
 
