@@ -18,10 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.subtitles import skeleton, speech, tokens
+from termloom.runtime import checkpointed
 
 WINDOW = 12
-#: Items handled in one pass over the corpus; more items are taken in blocks.
-ITEMS_PER_BLOCK = 20_000
+#: Bits of the filter that windows of documents pass before they are joined: so many for each window of the items,
+#: within these bounds. It only saves work; the join decides.
+BITS_PER_WINDOW, LEAST_BITS, MOST_BITS = 64, 1 << 16, 1 << 26
+#: A window with fewer words that are no slots is matched by its words, not by its template: it would be one key for
+#: every table of numbers or list of names.
+LITERAL_WORDS = 2
 NUMBER, NAME, UNIT = "\0number", "\0name", "\0unit"
 _SENTENCE_END = re.compile(r"[.?!:]\s*$")
 
@@ -54,7 +59,7 @@ class Templates:
                     if i and skeleton(found[i - 1]).isdigit() and w.islower():
                         self.units.add(s)
         self.names -= self.lower
-        self.cache: dict[str, tuple[int, str | None]] = {}
+        self.cache: dict[str, tuple[int, int]] = {}
 
     @classmethod
     def fitted(cls, texts: DataFrame) -> Templates:
@@ -66,33 +71,36 @@ class Templates:
         made.names -= made.lower
         return made
 
-    def token(self, word: str) -> tuple[int, str | None]:
-        """Template id of a word and, for a slot, what stands in it."""
+    def token(self, word: str) -> tuple[int, int]:
+        """Template id of a word, and the id of the word itself."""
         hit = self.cache.get(word)
         if hit is None:
             s = skeleton(word)
             kind = NUMBER if s.isdigit() else NAME if s in self.names else UNIT if s in self.units else None
             if kind is None and s not in self.words:
                 kind = NAME
-            hit = (_id(kind or s), s if kind else None)
+            hit = (_id(kind or s), _id(s))
             if len(self.cache) < 500_000:
                 self.cache[word] = hit
         return hit
 
-    def typed(self, words: list[str]) -> tuple[list[int], list[int]]:
-        """Of each word: the id it has alone, and the one it has behind the word before it."""
-        alone = [self.token(w)[0] for w in words]
+    def typed(self, words: list[str]) -> tuple[list[int], list[int], list[int]]:
+        """Of each word: the id it has alone, the one it has behind the word before it, and that of the word itself."""
+        pairs = [self.token(w) for w in words]
+        alone = [a for a, _ in pairs]
         behind = list(alone)
         for k in range(1, len(words)):
             if behind[k - 1] == _NUMBER and behind[k] != _NUMBER:
                 behind[k] = _UNIT
-        return alone, behind
+        return alone, behind, [w for _, w in pairs]
 
     def __getstate__(self):
         return {"names": self.names, "units": self.units, "words": self.words, "lower": set(), "cache": {}}
 
 
 _NUMBER, _NAME, _UNIT = _id(NUMBER), _id(NAME), _id(UNIT)
+_SLOTS = np.array([_NUMBER, _NAME, _UNIT], np.uint64)
+_SALT = np.uint64(_id("\0words"))
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,41 +114,56 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 2**64)) for k in range(WINDOW)]
 
 
-def _window_hashes(alone: np.ndarray, behind: np.ndarray) -> np.ndarray:
-    """Rolling hash of every WINDOW consecutive ids, the first typed alone; wraps modulo 2^64."""
-    n = len(alone) - WINDOW + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
+def _window_hashes(alone: np.ndarray, behind: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rolling hash of every WINDOW consecutive ids, the first typed alone, wrapping modulo 2^64, and whether it is one
+    of the words themselves."""
+    n = max(0, len(alone) - WINDOW + 1)
     out = alone[:n] * _POWERS[0]
+    words = plain[:n] * _POWERS[0]
+    literal = (~np.isin(alone[:n], _SLOTS)).astype(np.int64)
+    free = ~np.isin(behind, _SLOTS)
     for k in range(1, WINDOW):
         out += behind[k : k + n] * _POWERS[k]
+        words += plain[k : k + n] * _POWERS[k]
+        literal += free[k : k + n]
+    by_words = literal < LITERAL_WORDS
+    return np.where(by_words, words ^ _SALT, out), by_words
+
+
+def _among(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which hashes pass the filter, a bitmap over their lowest bits."""
+    at = hashes & np.uint64(8 * len(bits) - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _bitmap(windows: DataFrame) -> np.ndarray:
+    """The filter of a table of windows: made in the tasks, at most MOST_BITS bits however many windows there are."""
+    size = LEAST_BITS
+    while size < min(MOST_BITS, BITS_PER_WINDOW * windows.count()):
+        size *= 2
+    place = windows.select(F.col("window").bitwiseAND(F.lit(size - 1)).alias("p"))
+    rows = place.groupBy(F.shiftright("p", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(0x7FFF))).alias("bits")).collect()
+    out = np.zeros(size // 8, np.uint8)
+    for r in rows:
+        out[r["bucket"] << 12 : (r["bucket"] + 1) << 12] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return out
 
 
-def _among(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    if not len(wanted):
-        return np.zeros(len(hashes), bool)
-    at = np.searchsorted(wanted, hashes)
-    at[at == len(wanted)] = 0
-    return wanted[at] == hashes
-
-
-def _windows(batches: Iterator[pa.RecordBatch], templates: Templates, wanted: np.ndarray | None, spoken: bool, named: dict[int, np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (id, window, slots, names: bits of the places of names); only windows in ``wanted`` (sorted), if
-    given, and those in ``named`` (by the places of names) once any word counts as a name in these places."""
+def _windows(batches: Iterator[pa.RecordBatch], templates: Templates, wanted: np.ndarray | None, spoken: bool, named: list[int] = []) -> Iterator[pa.RecordBatch]:  # noqa: B006
+    """(id, text) -> (id, window, slots, names: bits of the places of names); only windows that pass the filter
+    ``wanted``, if given, as they are or once any word counts as a name in one of the sets of places ``named``."""
     for batch in batches:
-        keys, alone, behind, words, owner = batch.column(0).to_pylist(), [], [], [], []
+        keys, alone, behind, plain, words, owner = batch.column(0).to_pylist(), [], [], [], [], []
         for row, text in enumerate(batch.column(1).to_pylist()):
             found = tokens(speech(text) if spoken else text or "")
             if len(found) < WINDOW:
                 continue
-            a, b = templates.typed(found)
-            alone += a
-            behind += b
+            for whole, part in zip((alone, behind, plain), templates.typed(found)):
+                whole += part
             words += found
             owner.append((row, len(found)))
         first, rest = np.array(alone, np.uint64), np.array(behind, np.uint64)
-        hashes = _window_hashes(first, rest)
+        hashes, by_words = _window_hashes(first, rest, np.array(plain, np.uint64))
         n = len(hashes)
         whose = np.repeat([r for r, _ in owner], [n for _, n in owner]) if owner else np.empty(0, np.int64)
         inside = whose[:n] == whose[WINDOW - 1 :][:n]
@@ -149,12 +172,12 @@ def _windows(batches: Iterator[pa.RecordBatch], templates: Templates, wanted: np
         forced = [0] * len(hit)
         if named and n:
             change = [(np.uint64(_NAME) - (rest if k else first)[k : k + n]) * _POWERS[k] for k in range(WINDOW)]
-            for places, own in named.items():
+            for places in named:
                 other = hashes.copy()
                 for k in range(WINDOW):
                     if places >> k & 1:
                         other += change[k]
-                hit = np.flatnonzero(inside & (other != hashes) & _among(other, own))
+                hit = np.flatnonzero(inside & ~by_words & (other != hashes) & _among(other, wanted))
                 at.append(hit)
                 window.append(other[hit])
                 forced += [places] * len(hit)
@@ -163,7 +186,7 @@ def _windows(batches: Iterator[pa.RecordBatch], templates: Templates, wanted: np
             kinds = [_NAME if places >> k & 1 else (behind if k else alone)[p + k] for k in range(WINDOW)]
             shown = [skeleton(words[p + k]) for k in range(WINDOW)]
             slots.append([s for s, i in zip(shown, kinds) if i in (_NUMBER, _NAME, _UNIT)])
-            names.append(sum(1 << k for k, i in enumerate(kinds) if i == _NAME))
+            names.append(0 if by_words[p] else sum(1 << k for k, i in enumerate(kinds) if i == _NAME))
         yield pa.RecordBatch.from_arrays(
             [pa.array([keys[whose[p]] for p in at], batch.schema.field(0).type), pa.array(np.concatenate(window).view(np.int64)), pa.array(slots, pa.list_(pa.string())), pa.array(names, pa.int32())],
             ["id", "window", "slots", "names"],
@@ -173,33 +196,25 @@ def _windows(batches: Iterator[pa.RecordBatch], templates: Templates, wanted: np
 def template_matches(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, spoken: bool = True, any_name: bool = False) -> DataFrame:
     """doc_id, item_id, window, doc_slots, item_slots: windows of 12 template words that a document and an item share.
 
-    Items go in blocks of at most ITEMS_PER_BLOCK, each one pass over the corpus, with the block's window hashes (their
-    number is bounded by the block) sent to the tasks; slots are learned once, from all items. With ``any_name`` a
-    document may have any word, ordinary ones too, where the item has a name, at the cost of one search for each of the
-    different sets of places that names have in the items' windows. Null or short texts share nothing; repeated rows
-    repeat theirs.
+    One pass over the corpus, whatever the number of items: slots are learned from all items, a bitmap of the items'
+    windows lets few others of the documents through, and these are joined by their hash. With ``any_name`` a document
+    may have any word, ordinary ones too, where the item has a name, at the cost of one search for each of the different
+    sets of places that names have in the items' windows. Null or short texts share nothing; repeated rows repeat
+    theirs.
     """
     kinds = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     corpus = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     asked = items.select(F.col(item_id).alias("id"), F.col(item_text).alias("text"))
-    n_blocks = max(1, -(-asked.count() // ITEMS_PER_BLOCK))
     templates = Templates.fitted(asked.select("text"))
     schema = "id {}, window long, slots array<string>, names int"
-    out = None
-    for b in range(n_blocks):
-        block = asked if n_blocks == 1 else asked.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == b)
-        item_windows = block.mapInArrow(partial(_windows, templates=templates, wanted=None, spoken=False), schema.format(kinds[1]))
-        places: dict[int, list[int]] = {}
-        for window, names in item_windows.select("window", "names").distinct().collect():
-            places.setdefault(names, []).append(window)
-        by_places = {k: np.unique(np.array(v, np.int64).view(np.uint64)) for k, v in places.items()}
-        wanted = np.unique(np.concatenate([*by_places.values(), np.empty(0, np.uint64)]))
-        named = {k: v for k, v in by_places.items() if k} if any_name else None
-        found = corpus.mapInArrow(partial(_windows, templates=templates, wanted=wanted, spoken=spoken, named=named), schema.format(kinds[0]))
-        joined = found.select(F.col("id").alias("doc_id"), "window", F.col("slots").alias("doc_slots")).join(
-            item_windows.select(F.col("id").alias("item_id"), "window", F.col("slots").alias("item_slots")), "window"
-        )
-        out = joined if out is None else out.unionByName(joined)
+    item_windows = checkpointed(asked.mapInArrow(partial(_windows, templates=templates, wanted=None, spoken=False), schema.format(kinds[1])))
+    wanted = _bitmap(item_windows.select("window").distinct())
+    # At most 2 ** WINDOW sets of places.
+    named = [r[0] for r in item_windows.where("names <> 0").select("names").distinct().collect()] if any_name else []
+    found = corpus.mapInArrow(partial(_windows, templates=templates, wanted=wanted, spoken=spoken, named=named), schema.format(kinds[0]))
+    out = found.select(F.col("id").alias("doc_id"), "window", F.col("slots").alias("doc_slots")).join(
+        item_windows.select(F.col("id").alias("item_id"), "window", F.col("slots").alias("item_slots")), "window"
+    )
     return out.select(F.col("doc_id").alias(doc_id), F.col("item_id").alias(item_id), "window", "doc_slots", "item_slots")
 
 

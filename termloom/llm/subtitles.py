@@ -6,8 +6,11 @@ import re
 import unicodedata
 
 _TIMING = re.compile(r"^[ \t]*(?:\d+[ \t]*\n[ \t]*)?((?:\d+:)?\d{1,2}:\d{2}[.,]\d{1,3})[ \t]*-->[^\n]*(?:\n|\Z)", re.M)
-_MARKUP = re.compile(r"<[^<>]{0,200}>|\{[^{}]{0,200}\}")
-_SOUND = re.compile(r"\[[^\[\]]{0,200}\]|\([^()]{0,200}\)|♪[^♪]{0,200}♪|\*[^*\n]{0,80}\*")
+#: Stands between two cues; what is opened in one is closed in it or in the next, however long.
+_CUT = "\x1e"
+_WITHIN = r"[^{0}\x1e]*(?:\x1e[^{0}\x1e]*)?"
+_MARKUP = re.compile(rf"<{_WITHIN.format('<>')}>|\{{{_WITHIN.format('{}')}\}}")
+_SOUND = re.compile(rf"\[{_WITHIN.format('[' + chr(92) + ']')}\]|\({_WITHIN.format('()')}\)|♪{_WITHIN.format('♪')}♪|\*[^*\n\x1e]*\*")
 _LABEL = re.compile(r"^([^\w\n]*)[A-Z][A-Z0-9]*(?: [A-Z0-9]+)?:(?=\s)", re.M)
 _ADVERT = re.compile(
     r"https?://|www\.|\S@\S|\b[a-z0-9-]+\.[a-z0-9-]+\.[a-z]{2,}|subtitles by|corrected by|ripped by|^\W*transcript:", re.I | re.M
@@ -46,10 +49,11 @@ def speech(text: str | None) -> str:
     if not text:
         return ""
     kept = [c for c in cues(text) if not _ADVERT.search(c)]
-    joined = "\n".join(kept)
+    joined = f"\n{_CUT}".join(c.replace(_CUT, " ") for c in kept)
     if "<" in joined or "{" in joined:
         joined = _MARKUP.sub(" ", joined)
     joined = _SOUND.sub(" ", joined)
+    joined = joined.replace(_CUT, "")
     return _LABEL.sub(r"\1", joined) if ":" in joined else joined
 
 
