@@ -316,7 +316,7 @@ from ({_h('harbour')}) s join api_documents on record_id = s.doc_id)"""
 def _page(offset: int, most: int) -> Run:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = compiler(spark, sf_dir, parse("harbour"), UNLIMITED).scored(parse("harbour"))
-        return ranking.page(ranking.with_documents(found, corpus(spark, sf_dir)), offset, most).select("doc_id", "uri", F.round("score", 6).alias("score"))
+        return ranking.page(ranking.weighted(found, corpus(spark, sf_dir)), offset, most).select("doc_id", "uri", F.round("score", 6).alias("score"))
 
     return run
 
@@ -606,4 +606,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prefix search in the default contexts, ranked, first page."""
     q = parse("har")
     found = compiler(spark, sf_dir, q).scored(q)
-    return ranking.projected(ranking.page(ranking.with_documents(found, corpus(spark, sf_dir)), 0, 10)).select("doc_id", "uri", "score", "weight")
+    docs = corpus(spark, sf_dir)
+    return ranking.projected(ranking.described_page(ranking.weighted(found, docs), docs, 0, 10)).select("doc_id", "uri", "score", "weight")

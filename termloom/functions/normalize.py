@@ -157,7 +157,7 @@ def position_denormal(normal: Column) -> Column:
         size = F.conv(F.substring(own, 2, 31), 2, 10).cast("double") / 1e7
         return F.when(F.substring(own, 1, 1) == "0", -size).otherwise(size)
 
-    return F.format_string("%.7f-%.7f", value(0), value(1))
+    return F.when(normal.isNotNull(), F.format_string("%.7f-%.7f", value(0), value(1)))
 
 
 # ---------------------------------------------------------------- chains
@@ -165,8 +165,25 @@ def position_denormal(normal: Column) -> Column:
 NORMALIZERS: dict[str, Callable[[Column], Column]] = {"UpperCase": F.upper, "LowerCase": F.lower, "ZeroFill": zero_fill}
 
 
-def register_normalizer(name: str, function: Callable[[Column], Column]) -> None:
+_ON_DRIVER: dict[str, Callable[[str], str]] = {}
+
+
+def register_normalizer(name: str, function: Callable[[Column], Column], on_driver: Callable[[str], str] | None = None) -> None:
+    """``on_driver`` does the same to one query word; without it the words of a query go through ``function``, each in a
+    job of its own."""
     NORMALIZERS[name] = function
+    _ON_DRIVER.pop(name, None)
+    if on_driver is not None:
+        _ON_DRIVER[name] = on_driver
+
+
+def normalised_word(name: str, word: str) -> str:
+    """A query word through a registered normalizer."""
+    if name in _ON_DRIVER:
+        return _ON_DRIVER[name](word)
+    from pyspark.sql import SparkSession
+
+    return SparkSession.active().range(1).select(NORMALIZERS[name](F.lit(word)).alias("w")).first()["w"]
 
 
 def normalise(text: Column, names: list[str]) -> Column:

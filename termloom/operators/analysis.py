@@ -86,6 +86,12 @@ def without_words(numbered: DataFrame, boring: Callable[[Column], Column] | list
     return numbered.where(~drop)
 
 
+def mapped(posts: DataFrame, positions: Callable[[Column], Column]) -> DataFrame:
+    """Postings with ``positions`` in place of theirs; where these are null or none are left, the posting goes."""
+    new = positions(F.col("positions"))
+    return posts.withColumn("positions", new).where(F.size("positions") > 0).withColumn("tf", F.size("positions"))
+
+
 def vocabulary(posts: DataFrame) -> DataFrame:
     """context, word, word_lc, df."""
     return posts.groupBy("context", "word", "word_lc").agg(F.count("*").alias("df"))

@@ -156,7 +156,7 @@ class ContextSchema:
             elif name == "LowerCase":
                 word = word.lower()
             elif name != "ZeroFill":  # numbers compare by value, filled or not
-                continue
+                word = N.normalised_word(name, word)
         return word
 
     @classmethod

@@ -20,7 +20,7 @@ from termloom.plans import query as Q
 from termloom.plans.compiler import Compiler, ProcessConfig, QueryError
 from termloom.plans.parser import ParseError, parse
 from termloom.runtime import checkpointed
-from termloom.sources.documents import RECORD
+from termloom.sources.documents import RECORD, error_json
 from termloom.sources.store import GenerationStore
 
 DOCS = "doc_id bigint, uri string, description map<string,string>, weight double"
@@ -33,6 +33,7 @@ class Engine:
         self.docs = spark.createDataFrame([], DOCS)
         self.postings = spark.createDataFrame([], analysis.POSTINGS)
         self.checkpoint_every, self._changes = checkpoint_every, 0
+        self._loaded: dict[str, int] = {}
 
     # -- state
 
@@ -121,12 +122,14 @@ class Engine:
         absent = [r[0] for r in change.join(self.docs.select("doc_id"), "doc_id", "left_anti").select("uri").limit(20).collect()]
         if absent:
             raise QueryError(409, f"documents do not exist: {', '.join(sorted(absent))}")
-        merged = self.docs.join(change.drop("uri"), "doc_id", "left").select(
-            "doc_id", "uri",
-            F.when(F.col("new").isNull(), F.col("description")).otherwise(ranking.merge(F.col("description"), F.coalesce("new", empty))).alias("description"),
-            F.coalesce("new_weight", "weight").alias("weight"),
-        )
-        self._publish(merged, merge_postings(self.postings, checkpointed(analysis.postings(analysis.documents(raw), self.schemas))))
+        # Only the touched documents are merged; those of all others pass by an anti-join that doesn't group them.
+        change = checkpointed(change.drop("uri"))
+        ids = change.select("doc_id")
+        merged = self.docs.join(change, "doc_id").select("doc_id", "uri", ranking.merge(F.col("description"), F.col("new")).alias("description"), F.coalesce("new_weight", "weight").alias("weight"))
+        added = checkpointed(analysis.postings(analysis.documents(raw), self.schemas))
+        touched = merge_postings(self.postings.join(ids, "doc_id", "left_semi").select(added.columns), added)
+        untouched = self.postings.join(ids, "doc_id", "left_anti").select(added.columns)
+        self._publish(self.docs.join(ids, "doc_id", "left_anti").unionByName(merged), untouched.unionByName(touched))
 
     @staticmethod
     def _folded(raw: DataFrame, order: str) -> DataFrame:
@@ -156,10 +159,15 @@ class Engine:
         return ranking.with_documents(self.compiler().scored(self._query(q)), self.docs)
 
     def search(self, q: Q.Query | str, offset: int = 0, most: int = -1, fields: list[str] | None = None, weight: bool = False) -> DataFrame:
-        return ranking.projected(ranking.page(self.results(q), offset, most), fields, weight)
+        hits = ranking.weighted(self.compiler().scored(self._query(q)), self.docs)
+        return ranking.projected(ranking.described_page(hits, self.docs, offset, most), fields, weight)
+
+    def weight(self, q: Q.Query | str, offset: int = 0, most: int = -1) -> DataFrame:
+        """A search that shows the documents' weights and nothing of their descriptions."""
+        return self.search(q, offset, most, fields=[], weight=True)
 
     def count(self, q: Q.Query | str) -> int:
-        return self.results(q).count()
+        return self.compiler().scored(self._query(q)).join(self.docs.select("doc_id"), "doc_id", "left_semi").count()
 
     def completion(self, q: Q.Query | str, most: int = -1) -> DataFrame:
         return ranking.top_words(self.compiler().completions(self._query(q)), most)
@@ -176,10 +184,28 @@ class Engine:
     # -- maintenance
 
     def store(self, path: str) -> int:
-        return GenerationStore(self.spark, path).write(self.docs, self.postings, self.schemas)
+        """A new generation; 409 for an index opened from an older generation of this path than its newest."""
+        number = GenerationStore(self.spark, path).write(self.docs, self.postings, self.schemas, self._loaded.get(path))
+        self._loaded[path] = number
+        return number
 
     def load(self, path: str, generation: int | None = None) -> None:
-        self.docs, self.postings, self.schemas, _ = GenerationStore(self.spark, path).read(generation)
+        self.docs, self.postings, self.schemas, self._loaded[path] = GenerationStore(self.spark, path).read(generation)
+
+    def unite(self, other: Engine) -> None:
+        """Take in another index with the same contexts; 409 if a document is in both."""
+        both = self.docs.join(other.docs.select("doc_id"), "doc_id", "left_semi").limit(20).collect()
+        if both:
+            raise QueryError(409, f"documents are in both: {', '.join(sorted(str(r['uri']) for r in both))}")
+        self.schemas = other.schemas | self.schemas
+        self._publish(self.docs.unionByName(other.docs), self.postings.unionByName(other.postings))
+
+    def answer(self, command: dict | list) -> dict:
+        """``execute`` as a server answers: code 0 and the result, or the error's code and message."""
+        try:
+            return {"code": 0, "res": self.execute(command)}
+        except QueryError as e:
+            return error_json(e.code, e.message)
 
     def status(self, what: str, context: str | None = None) -> Any:
         match what:
@@ -208,9 +234,10 @@ class Engine:
         match command.get("cmd"):
             case "search":
                 q, offset, most = Q.from_json(command["query"]) if isinstance(command["query"], dict) else command["query"], command.get("offset", 0), command.get("max", -1)
-                found = self.results(q)
-                rows = ranking.projected(ranking.page(found, offset, most), command.get("fields"), command.get("weight", False))
-                return {"result": rows, "offset": offset, "max": most, "count": found.count()}
+                # Evaluated once, for the page and for the count.
+                hits = checkpointed(ranking.weighted(self.compiler().scored(self._query(q)), self.docs))
+                rows = ranking.projected(ranking.described_page(hits, self.docs, offset, most), command.get("fields"), command.get("weight", False))
+                return {"result": rows, "offset": offset, "max": most, "count": hits.count()}
             case "completion":
                 return self.completion(Q.from_json(command["text"]) if isinstance(command["text"], dict) else command["text"], command.get("max", -1))
             case "select":

@@ -12,6 +12,23 @@ def with_documents(scored: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.withColumn("score", F.col("score") * F.col("weight"))
 
 
+def weighted(scored: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, uri, weight, score: what ranking needs, without the descriptions."""
+    joined = docs.select("doc_id", "uri", "weight").join(scored, "doc_id")
+    return joined.withColumn("score", F.col("score") * F.col("weight"))
+
+
+#: Pages of at most so many rows are sent to the documents rather than the documents to them.
+BROADCAST_PAGE = 10_000
+
+
+def described_page(hits: DataFrame, docs: DataFrame, offset: int = 0, most: int = -1) -> DataFrame:
+    """A page of ``weighted`` hits with the descriptions of its documents only."""
+    top = page(hits, offset, most)
+    top = F.broadcast(top) if 0 <= most <= BROADCAST_PAGE else top
+    return ranked(docs.select("doc_id", "description").join(top, "doc_id").select("doc_id", "uri", "description", "weight", "score"))
+
+
 def ranked(results: DataFrame) -> DataFrame:
     """Highest score first, then by URI (and id, where URIs repeat)."""
     return results.orderBy(F.desc("score"), "uri", "doc_id")
@@ -42,9 +59,31 @@ def result_statistics(hits: DataFrame) -> DataFrame:
     return hits.agg(F.count_distinct("doc_id").alias("doc_hits"), F.count_distinct("words").alias("word_hits"), F.max("score").alias("max_score"))
 
 
+def result_statistics_by_kind(hits: DataFrame) -> DataFrame:
+    """Documents, words, and the highest score of a document (its hits' scores added up) and of a single hit."""
+    per_doc = hits.groupBy("doc_id").agg(F.sum("score").alias("total"))
+    docs = per_doc.agg(F.count("*").alias("doc_hits"), F.max("total").alias("max_doc_score"))
+    return docs.crossJoin(hits.agg(F.count_distinct("words").alias("word_hits"), F.max("score").alias("max_word_score")))  # two rows of one
+
+
 # Description operations on MAP<field, JSON fragment> columns.
 
 
+def description_size(description: str | Column) -> Column:
+    return F.coalesce(F.size(description), F.lit(0))
+
+
+def description_list(description: str | Column) -> Column:
+    """(field, value) pairs in the order of fields."""
+    return F.array_sort(F.map_entries(description))
+
+
+def description_of(pairs: Column) -> Column:
+    """From (field, value) pairs; of a repeated field the last holds."""
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    return delete_null(F.map_from_entries(last))
+
+
 def restrict(description: str | Column, fields: list[str]) -> Column:
     return F.map_filter(description, lambda k, _: k.isin(fields)) if fields else F.map_filter(description, lambda k, _: F.lit(False))
 
