@@ -1,9 +1,10 @@
 """Main content of web pages: path ratios over the lines of fetched pages.
 
-A page comes as lines, without tags, so a line's root-to-leaf path is what stands for its tags: its zone (before or
-after the heading), the frame line it follows, its distance from it, and its shape. Over the whole corpus, text length,
-punctuation and distinctness are aggregated per line template and per path; ratios are smoothed along the distance,
-fused, and thresholded. The lines on content paths are the main body.
+A page that comes as lines, without tags, has instead of a line's root-to-leaf path what stands for its tags: its zone
+(before or after the heading), the kind of frame line it follows, its distance from it, and its shape. Over the whole
+corpus, text length and punctuation are aggregated per line template and per path; ratios are smoothed over neighbouring
+lines and along the distance, fused, and thresholded: every path is content, frame, or undecided, and only inside
+undecided paths a line's own shape and place decide. ``html_content`` does the same for pages with tags.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
+from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.llm.lookalikes import by_table
@@ -27,9 +29,11 @@ SITE_SHARE = 0.001
 #: A template on at least this share of differently titled pages, and on FRAME_LEAST of them, belongs to the frame.
 FRAME_SHARE = 0.01
 FRAME_LEAST = 4
-#: Furthest distance from a frame line that has paths of its own, and longest list of teasers.
+#: Furthest distance from a frame line that has paths of its own; what lies further shares the last one's.
 REACH = 6
-TEASERS = 4
+#: Smoothed ratio of a path, over that of lines that follow no frame line, from which it is content, and below which it
+#: is frame.
+CONTENT, FRAME = 0.25, 0.025
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MENU = re.compile(r"[^.!?|·/]{1,40}?(?: ?[|·] ?| / |  +)[^.!?]*")
@@ -142,46 +146,79 @@ def _walk(lines: list[str], title: str | None, known: frozenset, frame: frozense
             head = ""
 
 
+def _fused(line: str) -> float:
+    """Text length and punctuation of a line in one number."""
+    return len(line.strip()) * (1.0 + len(re.findall(r"[.,;:!?]", line)))
+
+
+def _smoothed(walked: list) -> list[float]:
+    """Fused ratio of every line with half of its neighbours'; neighbours lie in the same zone and under the same frame
+    line."""
+    own = [_fused(line) for _, _, line in walked]
+    out = []
+    for j, (_, path, _) in enumerate(walked):
+        total, weight = 2 * own[j], 2
+        if j and walked[j - 1][1][0] == path[0] and not (path[1] and path[2] == 1):
+            total, weight = total + own[j - 1], weight + 1
+        if j + 1 < len(walked) and walked[j + 1][1][0] == path[0] and not (walked[j + 1][1][1] and walked[j + 1][1][2] == 1):
+            total, weight = total + own[j + 1], weight + 1
+        out.append(total / weight)
+    return out
+
+
 def _path_lines(batches: Iterator[pa.RecordBatch], known: frozenset, frame: frozenset) -> Iterator[pa.RecordBatch]:
-    """Text length, punctuation and lines per path."""
-    total: dict[tuple, list[int]] = {}
+    """Lines, text length, punctuation and smoothed ratio per path."""
+    total: dict[tuple, list[float]] = {}
     for b in batches:
         for text, title in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-            for _, path, line in _walk((text or "").split("\n"), title, known, frame):
-                s = total.setdefault(path, [0, 0, 0])
+            walked = list(_walk((text or "").split("\n"), title, known, frame))
+            for (_, path, line), around in zip(walked, _smoothed(walked)):
+                s = total.setdefault(path, [0, 0, 0, 0.0])
                 s[0] += 1
                 s[1] += len(line.strip())
                 s[2] += len(re.findall(r"[.,;:!?]", line))
+                s[3] += around
     paths = list(total)
     yield pa.RecordBatch.from_arrays(
         [pa.array([p[0] for p in paths], pa.string()), pa.array([p[1] for p in paths], pa.string()), pa.array([p[2] for p in paths], pa.int32()), pa.array([p[3] for p in paths], pa.string())]
-        + [pa.array([total[p][k] for p in paths], pa.int64()) for k in range(3)],
-        ["zone", "head", "distance", "shape", "lines", "chars", "marks"],
+        + [pa.array([total[p][k] for p in paths], pa.int64()) for k in range(3)]
+        + [pa.array([total[p][3] for p in paths], pa.float64())],
+        ["zone", "head", "distance", "shape", "lines", "chars", "marks", "around"],
     )
 
 
-def _content(batches: Iterator[pa.RecordBatch], known: frozenset, frame: frozenset, heads: dict[str, int], with_text: bool) -> Iterator[pa.RecordBatch]:
+def _content(batches: Iterator[pa.RecordBatch], known: frozenset, frame: frozenset, heads: dict[str, int], verdicts: dict[tuple, int], with_text: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, numbers, texts = [], [], []
         for i, text, title in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
             lines = (text or "").split("\n")
-            for n in content_lines(lines, title, known, frame, heads):
+            for n in content_lines(lines, title, known, frame, heads, verdicts):
                 ids.append(i)
                 numbers.append(n)
                 texts.append(lines[n] if with_text else None)
         yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], ["record_id", "line_no", "line"])
 
 
-def content_lines(lines: list[str], title: str | None, known: frozenset, frame: frozenset, heads: dict[str, int]) -> list[int]:
-    """Numbers of the main body's lines. ``heads``: frame lines that open a list of teasers, with its reach."""
+def _kind_of_path(path: tuple, heads: dict[str, int]) -> tuple:
+    """A line's path with the kind of the frame line it follows in place of that line."""
+    zone, head, distance, kind = path
+    return zone, "teasers" if head in heads else "notice" if head else "", distance, kind
+
+
+def content_lines(lines: list[str], title: str | None, known: frozenset, frame: frozenset, heads: dict[str, int], verdicts: dict[tuple, int]) -> list[int]:
+    """Numbers of the main body's lines. ``heads``: frame lines that open a list of teasers, with its reach; ``verdicts``:
+    1 for content paths, -1 for frame paths. Nothing before the heading is of the body."""
     walked = list(_walk(lines, title, known, frame))
     kept: list[int] = []
-    for at, (i, (zone, head, distance, kind), _) in enumerate(walked):
+    for at, (i, path, _) in enumerate(walked):
+        zone, head, distance, kind = path
         if zone == "heading":
             kept.append(i)
-        elif zone == "before" or kind == "star":
             continue
-        elif kind in ("text", "quote", "item"):
+        verdict = verdicts.get(_kind_of_path(path, heads), 0)
+        if zone == "before" or verdict < 0:
+            continue
+        if verdict > 0 or kind in ("text", "quote", "item"):
             kept.append(i)
         elif head in heads and distance <= heads[head]:
             continue
@@ -228,9 +265,25 @@ class PathRatios:
         least = max(FRAME_LEAST, FRAME_SHARE * titles)
         frame = {r["template"]: r["pages"] for r in counted.where(F.col("pages") >= least).collect()}
         self.frame = frozenset(frame)
-        paths = pages.mapInArrow(partial(_path_lines, known=self.known, frame=self.frame), "zone string, head string, distance int, shape string, lines long, chars long, marks long")
-        self.paths = paths.groupBy("zone", "head", "distance", "shape").agg(*[F.sum(c).alias(c) for c in ("lines", "chars", "marks")]).collect()
+        paths = pages.mapInArrow(partial(_path_lines, known=self.known, frame=self.frame), "zone string, head string, distance int, shape string, lines long, chars long, marks long, around double")
+        self.paths = paths.groupBy("zone", "head", "distance", "shape").agg(*[F.sum(c).alias(c) for c in ("lines", "chars", "marks", "around")]).collect()
         self.heads = self._teaser_heads(frame)
+        self.verdicts = self._verdicts()
+
+    def _verdicts(self) -> dict[tuple, int]:
+        """Paths by the threshold on their smoothed ratio, pooled over the frame lines of one kind."""
+        pooled: dict[tuple, list[float]] = {}
+        plain = [0.0, 0.0]
+        for r in self.paths:
+            cells = [pooled.setdefault(_kind_of_path((r["zone"], r["head"], r["distance"], r["shape"]), self.heads), [0.0, 0.0])]
+            if r["zone"] == "body" and not r["head"]:
+                cells.append(plain)
+            for cell in cells:
+                cell[0] += r["lines"]
+                cell[1] += r["around"]
+        base = plain[1] / plain[0] if plain[0] else 0.0
+        ratio = {p: around / n for p, (n, around) in pooled.items()}
+        return {p: 1 if x >= CONTENT * base else -1 if x < FRAME * base else 0 for p, x in ratio.items()} if base else {}
 
     def _teaser_heads(self, frame: dict[str, int]) -> dict[str, int]:
         """Frame lines whose followers carry little text and punctuation, with the distance up to which they do: the
@@ -252,9 +305,9 @@ class PathRatios:
             if 1 not in cells or cells[1][1] < 0.3 * frame[head] or cells[1][0] / cells[1][1] >= 0.3 * limit:
                 continue
             reach = 1
-            while reach < TEASERS:
+            while reach < REACH:
                 near = [cells[k] for k in range(reach, reach + 3) if k in cells]
-                if sum(c[0] for c in near) / sum(c[1] for c in near) >= limit:
+                if not near or sum(c[0] for c in near) / sum(c[1] for c in near) >= limit:
                     break
                 reach += 1
             heads[head] = reach
@@ -263,10 +316,87 @@ class PathRatios:
     def extract(self, pages: DataFrame, with_text: bool = True) -> DataFrame:
         """record_id, line_no (from 0), line (null without text): the lines of the main body."""
         kind = pages.schema["record_id"].dataType.simpleString()
-        return pages.mapInArrow(partial(_content, known=self.known, frame=self.frame, heads=self.heads, with_text=with_text), LINES.format(kind))
+        return pages.mapInArrow(partial(_content, known=self.known, frame=self.frame, heads=self.heads, verdicts=self.verdicts, with_text=with_text), LINES.format(kind))
 
 
 def pages_of(df: DataFrame, record_id: str, uri: str, text: str | None, title: str | None) -> DataFrame:
     """The columns the operator reads, of the rows whose URI starts with http (blanks around it aside)."""
     rows = df.where(F.lower(F.regexp_replace(uri, r"^\s+", "")).startswith("http"))
     return rows.select(F.col(record_id).alias("record_id"), F.col(uri).alias("uri"), F.expr(text).alias("text"), F.expr(title).alias("title"))
+
+
+class _Blocks(HTMLParser):
+    """Text blocks of a page with their root-to-leaf tag paths; tags that don't break lines are no part of a path."""
+
+    INLINE = frozenset("a abbr b bdi bdo cite code em font i img kbd mark q s small span strong sub sup time tt u var wbr br".split())
+    UNSEEN = frozenset("script style noscript template head".split())
+    VOID = frozenset("area base col embed hr img input link meta param source track wbr br".split())
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.open: list[str] = []
+        self.blocks: list[tuple[str, str]] = []
+        self.text: list[str] = []
+
+    def flush(self) -> None:
+        text = " ".join("".join(self.text).split())
+        if text and not self.UNSEEN.intersection(self.open):
+            self.blocks.append(("/".join(self.open), text))
+        self.text = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.text.append(" ")
+        if tag not in self.INLINE:
+            self.flush()
+            if tag not in self.VOID:
+                self.open.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag not in self.INLINE:
+            self.flush()
+            if tag in self.open:
+                del self.open[len(self.open) - 1 - self.open[::-1].index(tag) :]
+
+    def handle_data(self, data):
+        self.text.append(data)
+
+
+def blocks_of(html: str | None) -> list[tuple[str, str]]:
+    """(tag path, text) of the blocks of a page, in order; none for a null page."""
+    parser = _Blocks()
+    parser.feed(html or "")
+    parser.close()
+    parser.flush()
+    return parser.blocks
+
+
+def _html_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for i, uri, html in zip(*(b.column(k).to_pylist() for k in range(3))):
+            rows += [(i, n, site(uri), path, text, float(len(text)), float(len(re.findall(r"[.,;:!?]", text)))) for n, (path, text) in enumerate(blocks_of(html))]
+        kinds = [b.schema.field(0).type, pa.int32(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        columns = list(zip(*rows)) if rows else [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["record_id", "block_no", "site", "path", "text", "chars", "marks"])
+
+
+def html_content(pages: DataFrame, record_id: str, uri: str, html: str, threshold: float = 0.5) -> DataFrame:
+    """record_id, block_no, text: the blocks of each page's main body, by tag-path ratios.
+
+    Per site and root-to-leaf tag path, text length and punctuation marks per block are averaged and fused into one ratio;
+    along each page the ratios of neighbouring blocks are smoothed; blocks whose smoothed ratio, or whose path's own,
+    reaches ``threshold`` of the mean ratio of the site's text, by characters, are content. Statistics are per site, so
+    no site's frame is measured by another's; a path of a hot site is one row for the join. Null pages have no blocks;
+    repeated rows of one record are one page each only if their ids differ.
+    """
+    kind = pages.schema[record_id].dataType.simpleString()
+    rows = pages.select(F.col(record_id).alias("record_id"), F.col(uri).alias("uri"), F.col(html).alias("html"))
+    blocks = checkpointed(rows.mapInArrow(_html_blocks, f"record_id {kind}, block_no int, site string, path string, text string, chars double, marks double"))
+    paths = blocks.groupBy("site", "path").agg(F.avg("chars").alias("length"), F.avg("marks").alias("dots"), F.sum("chars").alias("chars"))
+    ratios = paths.withColumn("ratio", F.col("length") * (1 + F.col("dots")))
+    limits = ratios.groupBy("site").agg((F.sum(F.col("ratio") * F.col("chars")) / F.sum("chars") * threshold).alias("limit"))
+    rated = blocks.join(ratios.select("site", "path", "ratio"), ["site", "path"]).join(limits, "site")
+    near = Window.partitionBy("record_id").orderBy("block_no").rowsBetween(-1, 1)
+    smoothed = rated.withColumn("smooth", F.avg("ratio").over(near))
+    return smoothed.where((F.col("smooth") >= F.col("limit")) & (F.col("ratio") * 8 >= F.col("limit")) | (F.col("ratio") >= F.col("limit"))).select("record_id", "block_no", "text")

@@ -134,3 +134,42 @@ def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "a" * 100_000), (5, "<|endoftext|>")], "id bigint, t string")
     got = {r["id"]: r["n_tokens"] for r in token_counts(df, "id", "t").collect()}
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 1000 and got[5] > 1
+
+
+def test_the_threshold_decides(spark):
+    """An item under a frame line is dropped by the ratio of its path; by its shape alone it would be kept."""
+    rng = random.Random(9)
+    rows = []
+    for n in range(200):
+        text, title, _ = page(rng, n)
+        rows.append((n, f"http://s{n % 9}.example/{n}", text.replace("Most read", "Most read\n- a"), title))
+    pages = spark.createDataFrame(rows, "record_id bigint, uri string, text string, title string")
+    m = PathRatios(pages)
+    got = {(r["record_id"], r["line_no"]) for r in m.extract(pages).collect()}
+    assert {1, -1} <= set(m.verdicts.values())
+    m.verdicts = {}
+    assert got != {(r["record_id"], r["line_no"]) for r in m.extract(pages).collect()}
+
+
+def test_html_content(spark):
+    from termloom.llm.main_content import blocks_of, html_content
+
+    assert blocks_of("<p>a <b>b</b><br>c</p><ul><li>d<li>e</ul><script>x</script>f") == [("p", "a b c"), ("ul/li", "d"), ("ul/li/li", "e"), ("", "f")]
+    assert blocks_of(None) == blocks_of("") == []
+    rng = random.Random(2)
+    words = lambda n: " ".join("".join(rng.choices("bcdfgklmnaeiou", k=6)) for _ in range(n))
+    rows, want = [], {}
+    for n in range(40):
+        body = [f"{words(30)}, {words(20)}. {words(9)}." for _ in range(rng.randint(2, 4))]
+        nav = "".join(f"<li><a href='/{k}'>{words(1)}</a></li>" for k in range(5))
+        page = f"<html><head><title>t</title></head><body><nav><ul>{nav}</ul></nav><div><article><h1>{words(4)}</h1>" + "".join(f"<p>{b}</p>" for b in body)
+        rows.append((n, f"http://h{n % 2}.example/{n}", page + f"</article></div><aside><p>{words(3)}</p><p>{words(2)}</p></aside><footer>Copyright 2009, {words(1)}</footer></body></html>"))
+        want[n] = set(body)
+    pages = spark.createDataFrame([*rows, (99, "http://h1.example/x", None)], "id bigint, u string, h string")
+    got: dict = {}
+    for r in html_content(pages, "id", "u", "h").collect():
+        got.setdefault(r["record_id"], set()).add(r["text"])
+    assert all(want[n] <= got[n] for n in want) and 99 not in got
+    extra = [t for n in want for t in got[n] - want[n]]
+    assert len(extra) <= len(want)  # at most the heading before the first paragraph
+    assert html_content(pages.where("false"), "id", "u", "h").count() == 0
