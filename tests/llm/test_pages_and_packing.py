@@ -136,19 +136,21 @@ def test_token_counts(spark):
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 1000 and got[5] > 1
 
 
-def test_the_threshold_decides(spark):
-    """An item under a frame line is dropped by the ratio of its path; by its shape alone it would be kept."""
-    rng = random.Random(9)
-    rows = []
-    for n in range(200):
-        text, title, _ = page(rng, n)
-        rows.append((n, f"http://s{n % 9}.example/{n}", text.replace("Most read", "Most read\n- a"), title))
-    pages = spark.createDataFrame(rows, "record_id bigint, uri string, text string, title string")
-    m = PathRatios(pages)
-    got = {(r["record_id"], r["line_no"]) for r in m.extract(pages).collect()}
-    assert {1, -1} <= set(m.verdicts.values())
-    m.verdicts = {}
-    assert got != {(r["record_id"], r["line_no"]) for r in m.extract(pages).collect()}
+def test_the_threshold_decides():
+    """Every path is judged by its ratio before a line's own shape is looked at."""
+    from termloom.llm.main_content import content_lines
+
+    m = PathRatios.__new__(PathRatios)
+    m.heads = {"Most read": 2}
+    row = lambda head, distance, kind, lines, around: {"zone": "body", "head": head, "distance": distance, "shape": kind, "lines": lines, "around": around}
+    m.paths = [row("", 0, "text", 90, 90_000.0), row("", 0, "short", 10, 4_000.0), row("Most read", 1, "item", 5, 50.0), row("Most read", 2, "short", 9, 90.0), row("Notice", 1, "sentence", 5, 1_000.0)]
+    verdicts = m._verdicts()
+    assert verdicts == {("body", "", 0, "text"): 1, ("body", "", 0, "short"): 1, ("body", "teasers", 1, "item"): -1, ("body", "teasers", 2, "short"): -1, ("body", "notice", 1, "sentence"): 0}
+    lines = ["Title", "One two. Three four.", "Most read", "- an item", "Two words"]
+    kept = lambda v: content_lines(lines, "Title", frozenset({"Most", "read"}), frozenset({"Most read"}), m.heads, v)
+    assert kept(verdicts) == [0, 1, 4] and kept({}) == [0, 1, 3, 4]
+    m.paths = []
+    assert m._verdicts() == {}
 
 
 def test_html_content(spark):
