@@ -84,15 +84,14 @@ class Templates:
                 self.cache[word] = hit
         return hit
 
-    def typed(self, words: list[str]) -> tuple[list[int], list[int], list[int]]:
-        """Of each word: the id it has alone, the one it has behind the word before it, and that of the word itself."""
-        pairs = [self.token(w) for w in words]
-        alone = [a for a, _ in pairs]
+    def typed(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """Of each word: the id it has alone, and the one it has behind the word before it."""
+        alone = [self.token(w)[0] for w in words]
         behind = list(alone)
         for k in range(1, len(words)):
             if behind[k - 1] == _NUMBER and behind[k] != _NUMBER:
                 behind[k] = _UNIT
-        return alone, behind, [w for _, w in pairs]
+        return alone, behind
 
     def __getstate__(self):
         return {"names": self.names, "units": self.units, "words": self.words, "lower": set(), "cache": {}}
@@ -114,20 +113,26 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 2**64)) for k in range(WINDOW)]
 
 
-def _window_hashes(alone: np.ndarray, behind: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _is_slot(ids: np.ndarray) -> np.ndarray:
+    return (ids == _SLOTS[0]) | (ids == _SLOTS[1]) | (ids == _SLOTS[2])
+
+
+def _window_hashes(alone: np.ndarray, behind: np.ndarray, words: list[str], templates: Templates) -> tuple[np.ndarray, np.ndarray]:
     """Rolling hash of every WINDOW consecutive ids, the first typed alone, wrapping modulo 2^64, and whether it is one
     of the words themselves."""
     n = max(0, len(alone) - WINDOW + 1)
     out = alone[:n] * _POWERS[0]
-    words = plain[:n] * _POWERS[0]
-    literal = (~np.isin(alone[:n], _SLOTS)).astype(np.int64)
-    free = ~np.isin(behind, _SLOTS)
     for k in range(1, WINDOW):
         out += behind[k : k + n] * _POWERS[k]
-        words += plain[k : k + n] * _POWERS[k]
-        literal += free[k : k + n]
-    by_words = literal < LITERAL_WORDS
-    return np.where(by_words, words ^ _SALT, out), by_words
+    literals = np.cumsum(np.r_[0, ~_is_slot(behind)])
+    by_words = ~_is_slot(alone[:n]) + literals[WINDOW : WINDOW + n] - literals[1 : n + 1] < LITERAL_WORDS
+    few = np.flatnonzero(by_words)
+    if len(few):
+        plain = np.zeros(len(words), np.uint64)
+        for p in np.unique((few[:, None] + np.arange(WINDOW)).ravel()):
+            plain[p] = templates.token(words[p])[1]
+        out[few] = sum((plain[few + k] * _POWERS[k] for k in range(1, WINDOW)), plain[few] * _POWERS[0]) ^ _SALT
+    return out, by_words
 
 
 def _among(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -153,17 +158,18 @@ def _windows(batches: Iterator[pa.RecordBatch], templates: Templates, wanted: np
     """(id, text) -> (id, window, slots, names: bits of the places of names); only windows that pass the filter
     ``wanted``, if given, as they are or once any word counts as a name in one of the sets of places ``named``."""
     for batch in batches:
-        keys, alone, behind, plain, words, owner = batch.column(0).to_pylist(), [], [], [], [], []
+        keys, alone, behind, words, owner = batch.column(0).to_pylist(), [], [], [], []
         for row, text in enumerate(batch.column(1).to_pylist()):
             found = tokens(speech(text) if spoken else text or "")
             if len(found) < WINDOW:
                 continue
-            for whole, part in zip((alone, behind, plain), templates.typed(found)):
-                whole += part
+            a, b = templates.typed(found)
+            alone += a
+            behind += b
             words += found
             owner.append((row, len(found)))
         first, rest = np.array(alone, np.uint64), np.array(behind, np.uint64)
-        hashes, by_words = _window_hashes(first, rest, np.array(plain, np.uint64))
+        hashes, by_words = _window_hashes(first, rest, words, templates)
         n = len(hashes)
         whose = np.repeat([r for r, _ in owner], [n for _, n in owner]) if owner else np.empty(0, np.int64)
         inside = whose[:n] == whose[WINDOW - 1 :][:n]

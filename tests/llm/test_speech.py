@@ -117,14 +117,17 @@ def test_new_units_and_names_in_any_case(spark, monkeypatch):
     items = spark.createDataFrame([(70, item), (71, "An orchard hauled by the Keze crews"), (72, "short")], "item_id bigint, text string")
     found = lambda: {tuple(r)[:2] for r in reparameterised(template_matches(docs, "doc_id", "text", items, "item_id", "text", any_name=True), "doc_id", "item_id").collect()}
     assert found() == {(n, 70) for n in range(4)}
-    monkeypatch.setattr(leakage, "ITEMS_PER_BLOCK", 1)
+    monkeypatch.setattr(leakage, "MOST_BITS", leakage.LEAST_BITS)
     assert found() == {(n, 70) for n in range(4)}
 
 
 def test_slot_types():
+    from termloom.llm.leakage import NAME, NUMBER, UNIT, _id
+
     t = Templates([ITEM])
-    assert skeleton("Zopa") in t.names and skeleton("crates") in t.units and t.token("771")[1] == "771"
-    assert t.token("survey")[1] is None and t.token("Unheard")[1] == skeleton("Unheard")
+    assert skeleton("Zopa") in t.names and skeleton("crates") in t.units
+    kinds = {"771": NUMBER, "Zopa": NAME, "crates": UNIT, "survey": skeleton("survey"), "Unheard": NAME}
+    assert all(t.token(w) == (_id(kind), _id(skeleton(w))) for w, kind in kinds.items())
 
 
 def test_reading_level(spark):
